@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language_id import op6_language_id
+from .media import op3_media_columns
 from .mixing import OP1_SQL, op1_mix_sources
+from .packing import op9_best_fit_packing
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_media_columns": op3_media_columns,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES = {
