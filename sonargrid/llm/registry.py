@@ -7,12 +7,14 @@ from .language_id import op6_language_id
 from .media import op3_media_columns
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op9_best_fit_packing
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_media_columns": op3_media_columns,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
