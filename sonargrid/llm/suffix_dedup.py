@@ -4,9 +4,10 @@ A passage of SPAN bytes that repeats must be met in one task with its earlier oc
 
 1. Anchors. In every string of SPAN bytes the GRAM-byte gram of least hash is an anchor, so equal strings have the same anchor at the
    same place. About one byte in 40 is one. Anchors shuffle by hash as packed arrays; those that occur once go.
-2. Contexts. Around an anchor that repeats, the bytes that a SPAN-byte string with that anchor can cover (175 at most) go to the task of the
-   anchor's hash. Equal contexts of an anchor are reduced to their first occurrence, the others are removed whole.
-3. Index. A task sorts the suffixes of its distinct contexts, forms the Burrows-Wheeler transform and its runs, and takes the match length of
+2. Contexts. The strings that have one anchor are those that start within a few bytes: together they are its context, about 140 bytes. Hashes of the
+   contexts of anchors that repeat shuffle by anchor. Equal contexts of an anchor are reduced to their first occurrence, the others are removed
+   whole; where an anchor has several contexts, the bytes of each are fetched from its document, once.
+3. Index. A task sorts the suffixes of its contexts, forms the Burrows-Wheeler transform and its runs, and takes the match length of
    each run's first suffix with the suffix before it. These samples at run ends are all that is measured: streaming over the text, every other
    match length follows from the last sample (it falls by one a byte). Suffixes joined by matches of SPAN bytes or more are one string; all but its
    first occurrence are marked.
@@ -19,21 +20,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import arrow_batches, bytes_of, slices, table
 
-SPAN, GRAM = 100, 24
+SPAN, GRAM = 100, 20
 CHUNK = 1 << 20
 #: Bytes of contexts that one index holds, unless a single anchor has more.
-INDEX_BYTES = 1 << 20
-PART_BYTES = 8 << 20
+INDEX_BYTES = 900_000
+PART_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
-PAIRS = "part int, docs binary, keys binary, doc binary, at binary"
-CONTEXTS = PAIRS + ", lead binary, bytes binary, size binary"
-MARKS = "part int, docs binary, doc binary, start binary, stop binary"
+DOC = np.dtype([("doc", "<i8"), ("hash", "<i4")])
+ANCHORS = {"keys": np.dtype("<u8"), "at": np.dtype("<u4"), "lead": np.dtype("u1"), "more": np.dtype("u1")}
+HASHES = {"keys": np.dtype("<u8"), "digest": np.dtype("<u8"), "at": np.dtype("<u4"), "size": np.dtype("<u2")}
+SPANS = {"keys": np.dtype("<u8"), "at": np.dtype("<u4"), "stop": np.dtype("<u4")}
+TEXTS = {"keys": np.dtype("<u8"), "at": np.dtype("<u4"), "size": np.dtype("<u2"), "bytes": np.dtype("u1")}
+
+
+def packed(columns: dict) -> str:
+    return "part int, kind int, docs binary, doc binary, " + ", ".join(f"{c} binary" for c in columns)
 
 
 class Roll:
@@ -80,10 +88,10 @@ def roll(size: int) -> Roll:
     return ROLLS[size]
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Places in data of all anchors, and the hashes of their grams. Strings never cross documents; memory is bounded by chunk."""
+def anchors(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place in data, hash of the gram, first and last start of the strings that have it) of all anchors. Strings never cross documents; memory is bounded by chunk."""
     width = span - gram + 1
-    places, keys = [], []
+    found: list[tuple[np.ndarray, ...]] = []
     ends = offs[1:]
     r = roll(chunk + span)
     for a in range(0, len(data), chunk):
@@ -91,24 +99,30 @@ def anchors(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int = GR
         if len(piece) < span:
             break
         h = r.windows(piece, gram)
-        starts = np.arange(a, a + len(piece) - span + 1)
-        whole = starts + span <= ends[np.searchsorted(ends, starts, "right")]  # the string stays in its document
-        order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        step, least = 1, order
+        n = len(piece) - span + 1
+        fit = np.zeros(n + 1, np.int64)  # strings that stay in their document
+        low, high = np.maximum(offs[:-1] - a, 0), np.minimum(ends - span + 1 - a, n)
+        some = (low < high) & (low < n)
+        np.add.at(fit, low[some], 1)
+        np.add.at(fit, high[some], -1)
+        starts = np.flatnonzero(np.cumsum(fit[:-1]) > 0)
+        if not len(starts):
+            continue
+        step, least = 1, (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         while 2 * step <= width:
             least = np.minimum(least[:-step], least[step:])
             step *= 2
         if step < width:
-            least = np.minimum(least[: len(starts)], least[width - step : width - step + len(starts)])
-        chosen = np.zeros(len(h), bool)
-        chosen[(least[: len(starts)][whole] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(chosen)
-        places.append(at + a)
-        keys.append(h[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(keys)[first]
+            least = np.minimum(least[:n], least[width - step : width - step + n])
+        at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        last = np.append(head[1:], len(at)) - 1
+        found.append((at[head] + a, h[at[head]], starts[head] + a, starts[last] + a))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, keys, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # an anchor may end one chunk and begin the next
+    return at[head], keys[head], first[head], last[np.append(head[1:], len(at)) - 1]
 
 
 def distances(size: np.ndarray) -> np.ndarray:
@@ -117,33 +131,46 @@ def distances(size: np.ndarray) -> np.ndarray:
     return np.repeat(ends, size + 1) - np.arange(int((size + 1).sum()))
 
 
-def suffix_order(codes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, packed first 7 symbols) of texts up to depth long. codes: byte + 1, 0 for separators, which are distinct symbols in order of place."""
+def suffix_order(codes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(suffix array, packed first symbols, bits a symbol) of texts up to depth long. codes: symbols from 1, 0 for separators, which are distinct, in order of place.
+
+    Prefix doubling. Up to 2^20 suffixes a key and its place fit one integer, which sorts much faster than an index.
+    """
     n = len(codes)
-    padded = np.concatenate([codes, np.zeros(8, np.int64)])
-    packed = np.zeros(n, np.int64)
-    closed = np.zeros(n, bool)
-    for i in range(7):
-        symbol = padded[i : i + n].copy()
-        symbol[left < i] = 0  # what follows a separator doesn't count
-        packed = (packed << 9) | symbol
-    order = np.argsort(packed, kind="stable")
-    width, key = 7, packed
+    bits = max(1, int(codes.max(initial=0)).bit_length())
+    width = 63 // bits
+    padded = np.concatenate([codes, np.zeros(width + 1, np.int64)])
+    packed_symbols = np.zeros(n, np.int64)
+    for i in range(width):
+        packed_symbols = (packed_symbols << bits) | np.where(left < i, 0, padded[i : i + n])  # what follows a separator doesn't count
+    place = max(1, (n - 1).bit_length())
+    small = 3 * place <= 63
+    if small:
+        width_sorted = max(1, (63 - place) // bits)
+        key = packed_symbols >> (bits * (width - width_sorted))
+    else:
+        width_sorted, key = width, packed_symbols
+    places = np.arange(n)
     while True:
-        closed = left < width
-        sorted_key = key[order]
+        if small:
+            both = np.sort((key << place) | places)
+            order = both & ((1 << place) - 1)
+            sorted_key = both >> place
+        else:
+            order = np.argsort(key, kind="stable")
+            sorted_key = key[order]
+        closed = left < width_sorted
         new = np.ones(n, bool)
         new[1:] = (sorted_key[1:] != sorted_key[:-1]) | closed[order[1:]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
-        if width > depth or new.all():
-            return order, packed
+        if width_sorted > depth or new.all():
+            return order, packed_symbols, bits
         following = np.zeros(n, np.int64)
-        following[: n - width] = rank[width:]
+        following[: n - width_sorted] = rank[width_sorted:]
         following[closed] = 0
-        key = rank * (n + 1) + following
-        order = np.argsort(key, kind="stable")
-        width *= 2
+        key = (rank << place) | following
+        width_sorted *= 2
 
 
 class RunLengthIndex:
@@ -154,8 +181,11 @@ class RunLengthIndex:
         n = int(size.sum()) + len(size)
         self.left = distances(size)
         codes = np.zeros(n, np.int64)
-        codes[self.left > 0] = data.astype(np.int64) + 1
-        self.suffixes, packed = suffix_order(codes, self.left, int(size.max()) if len(size) else 0)
+        used = np.flatnonzero(np.bincount(data, minlength=256))
+        dense = np.zeros(256, np.int64)
+        dense[used] = np.arange(1, len(used) + 1)
+        codes[self.left > 0] = dense[data]
+        self.suffixes, symbols, self.bits = suffix_order(codes, self.left, int(size.max()) if len(size) else 0)
         before = codes[self.suffixes - 1]
         self.run_head = np.ones(n, bool)
         self.run_head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
@@ -163,21 +193,22 @@ class RunLengthIndex:
         heads = np.flatnonzero(self.run_head)
         heads = heads[heads > 0]
         self.sampled = self.suffixes[heads]
-        self.samples = self.common(packed, self.sampled, self.suffixes[heads - 1])
+        self.samples = self.common(symbols, self.sampled, self.suffixes[heads - 1])
 
-    def common(self, packed: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def common(self, symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at a and b."""
         most = np.minimum(self.left[a], self.left[b])
         out = np.zeros(len(a), np.int64)
         todo = np.arange(len(a))
-        at = 0
+        width, at = 63 // self.bits, 0
         while len(todo):
-            differ = packed[a[todo] + at] ^ packed[b[todo] + at]
+            differ = symbols[a[todo] + at] ^ symbols[b[todo] + at]
             same = differ == 0
-            top = np.frexp(differ[~same].astype(np.float64))[1]  # bit length; rounding up at most steps over a symbol's border
-            top -= (np.left_shift(np.int64(1), np.minimum(top - 1, 62)) > differ[~same]).astype(top.dtype)
-            out[todo[~same]] = at + (63 - top) // 9
-            todo, at = todo[same], at + 7
+            x = differ[~same]
+            top = np.frexp(x.astype(np.float64))[1].astype(np.int64)  # bit length, one too many where rounding reached the next power
+            top -= (np.int64(1) << np.minimum(top - 1, 62)) > x
+            out[todo[~same]] = at + (width * self.bits - top) // self.bits
+            todo, at = todo[same], at + width
             out[todo] = at
             todo = todo[most[todo] > at]
         return np.minimum(out, most)
@@ -207,29 +238,42 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(size.sum())) + np.repeat(start - total, size)]
 
 
-def repeated_in_contexts(keys: np.ndarray, number: np.ndarray, lead: np.ndarray, data: np.ndarray, size: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, from, to): spans of contexts that are covered by strings that occur earlier.
+def digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each span of data; starts ascend."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + CHUNK, "left")))
+        low, high = start[at], int((start[at:to] + size[at:to]).max())
+        out[at:to] = roll(max(high - low, CHUNK + SPAN)).spans(data[low:high], start[at:to] - low, start[at:to] - low + size[at:to])
+        at = to
+    return out
+
 
-    keys: the anchor of each context; number: occurrence number of its first byte (documents far apart); data: all bytes in a row.
+def compare(keys: np.ndarray, digest: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts that repeat an earlier one whole, first occurrences of the contexts of anchors that have several).
+
+    number: occurrence number; rows that repeat one are no copies.
     """
-    start = np.cumsum(size) - size
-    digest = roll(len(data)).spans(data, start, start + size)
     order = np.lexsort((number, digest, keys))
     k, d = keys[order], digest[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-    copies, kept = order[~fresh], order[fresh]
-    group = np.flatnonzero(np.append(True, keys[kept][1:] != keys[kept][:-1])) if len(kept) else np.zeros(0, np.int64)
-    count = np.diff(np.append(group, len(kept)))
-    kept = kept[np.repeat(count > 1, count)]
-    # a row that repeats an occurrence is no copy
-    owner = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    owner = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
     copies = order[~fresh & (number[owner] != number[order])]
-    out = [(copies, np.zeros(len(copies), np.int64), size[copies])]
-    at = 0
-    cuts = np.flatnonzero(np.append(True, keys[kept][1:] != keys[kept][:-1])) if len(kept) else np.zeros(0, np.int64)
-    cuts = np.append(cuts, len(kept))
-    weight = np.append(0, np.cumsum(size[kept]))
+    firsts = order[fresh]
+    head = np.flatnonzero(np.append(True, keys[firsts][1:] != keys[firsts][:-1])) if len(firsts) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(firsts)))
+    return copies, firsts[np.repeat(count > 1, count)]
+
+
+def repeated_strings(keys: np.ndarray, number: np.ndarray, data: np.ndarray, size: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, place in it) of the strings that occur at a smaller number. number: occurrence number of each context's first byte, documents far apart."""
+    start = np.cumsum(size) - size
+    kept = np.lexsort((number, keys))
+    cuts = np.append(np.flatnonzero(np.append(True, keys[kept][1:] != keys[kept][:-1])), len(kept)) if len(kept) else np.zeros(1, np.int64)
+    weight = np.append(0, np.cumsum(size[kept] + 1))
+    out, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
     while at < len(cuts) - 1:
         to = max(at + 1, int(np.searchsorted(weight[cuts], weight[cuts[at]] + INDEX_BYTES, "right")) - 1)
         these = kept[cuts[at] : cuts[to]]
@@ -238,7 +282,7 @@ def repeated_in_contexts(keys: np.ndarray, number: np.ndarray, lead: np.ndarray,
         context = np.repeat(np.arange(len(these)), size[these] + 1)
         inside = np.arange(len(context)) - np.repeat(np.cumsum(size[these] + 1) - size[these] - 1, size[these] + 1)
         hits = index.repeats(number[these][context] + inside, span)
-        out.append((these[context[hits]], inside[hits], inside[hits] + span))
+        out.append((these[context[hits]], inside[hits]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -257,141 +301,186 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 
 class Parts:
-    """Packed arrays of several batches joined: documents get numbers in order of (doc_id, hash)."""
+    """Packed rows joined: documents get numbers in order of (doc, hash), doc has the number of each entry, of its columns."""
 
     def __init__(self, rows: pa.Table, columns: dict[str, np.dtype]):
-        tables = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows["docs"].to_pylist()]
-        sizes = [len(t) for t in tables]
-        stacked = np.concatenate(tables) if tables else np.zeros((0, 3), np.int64)
-        self.docs, number = np.unique(stacked, axis=0, return_inverse=True)
+        tables = [np.frombuffer(x, DOC) for x in rows["docs"].to_pylist()]
+        stacked = np.concatenate([np.zeros(0, DOC), *tables])
+        self.docs, number = np.unique(stacked, return_inverse=True)
         number = number.reshape(-1)
-        first = np.cumsum([0, *sizes])
-        self.doc = np.concatenate([number[np.frombuffer(x, np.uint32).astype(np.int64) + f] for x, f in zip(rows["doc"].to_pylist(), first, strict=False)]) if tables else np.zeros(0, np.int64)
+        first = np.cumsum([0, *map(len, tables)])
+        self.doc = np.concatenate([np.zeros(0, np.int64), *(number[np.frombuffer(x, np.uint32).astype(np.int64) + f] for x, f in zip(rows["doc"].to_pylist(), first, strict=False))])
         self.of = {c: np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in columns.items()}
+        for c in ("at", "lead", "more", "size", "stop"):
+            if c in self.of:
+                self.of[c] = self.of[c].astype(np.int64)
 
 
-def deal(part: np.ndarray, docs: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray], sized: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> pa.RecordBatch:
-    """One row per part: the documents it refers to and its slices of the columns, packed. sized: columns of (data, sizes)."""
+def deal(part: np.ndarray, docs: np.ndarray, doc: np.ndarray, columns: dict[str, np.ndarray], kinds: dict[str, np.dtype], kind: int = 0, spans: tuple | None = None) -> pa.RecordBatch:
+    """One row per part: the documents it refers to and its slices of the columns, packed. spans: (data, start, size) for the column bytes."""
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else np.zeros(0, np.int64)
-    out: dict[str, list] = {"part": [], "docs": [], **{c: [] for c in (*columns, *(sized or {}))}, "doc": []}
+    out: dict[str, list] = {c: [] for c in ("part", "kind", "docs", "doc", *kinds)}
     for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
         these = order[a:b]
         used, local = np.unique(doc[these], return_inverse=True)
         out["part"].append(int(part[these[0]]))
-        out["docs"].append(docs[used].astype(np.int64).tobytes())
+        out["kind"].append(kind)
+        out["docs"].append(docs[used].tobytes())
         out["doc"].append(local.astype(np.uint32).tobytes())
-        for c, x in columns.items():
-            out[c].append(x[these].tobytes())
-        for c, (data, size) in (sized or {}).items():
-            start = np.cumsum(size) - size
-            out[c].append(gather(data, start[these], size[these]).tobytes())
-    kinds = {c: pa.int32() if c == "part" else pa.binary() for c in out}
-    return pa.RecordBatch.from_arrays([pa.array(out[c], kinds[c]) for c in out], list(out))
+        for c, as_kind in kinds.items():
+            out[c].append(gather(spans[0], spans[1][these], spans[2][these]).tobytes() if c == "bytes" else columns[c][these].astype(as_kind).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if c in ("part", "kind") else pa.binary()) for c, x in out.items()], list(out))
+
 
+def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    """As doc_part() computes it."""
+    mixed = doc ^ (doc >> 15) ^ (doc >> 32)
+    return mixed % parts
 
-def in_order(batch: pa.RecordBatch, schema: str) -> pa.RecordBatch:
-    return batch.select([c.split()[0] for c in schema.split(", ")])
 
+def doc_part(parts: int) -> Column:
+    doc = F.col("doc")
+    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 15)).bitwiseXOR(F.shiftright(doc, 32)), F.lit(parts)).cast("int")
 
-def find_anchors(parts: int, span: int):
+
+def doc_table(rows) -> np.ndarray:
+    out = np.zeros(rows.num_rows, DOC)
+    for c in ("doc", "hash"):
+        out[c] = rows.column(c).to_numpy(**({"zero_copy_only": False} if isinstance(rows, pa.RecordBatch) else {}))
+    return out
+
+
+def find_anchors(parts: int, span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
             data, offs = bytes_of(batch.column("text"))
-            at, keys = anchors(data, offs, span)
+            at, keys, first, last = anchors(data, offs, span, gram)
             doc = np.searchsorted(offs, at, "right") - 1
-            docs = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "hash", "part")], 1)
-            yield in_order(deal((keys % np.uint64(parts)).astype(np.int64), docs, doc, {"keys": keys, "at": (at - offs[doc]).astype(np.int64)}), PAIRS)
+            yield deal((keys % np.uint64(parts)).astype(np.int64), doc_table(batch), doc, {"keys": keys, "at": at - offs[doc], "lead": at - first, "more": last - first}, ANCHORS)
 
     return run
 
 
-def keep_repeated(rows: pa.Table) -> pa.Table:
-    p = Parts(rows, {"keys": np.uint64, "at": np.int64})
-    keys = p.of["keys"]
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    often = np.zeros(len(keys), bool)
-    often[order[1:][same]] = True
-    often[order[:-1][same]] = True
-    doc = p.doc[often]
-    batch = deal(p.docs[doc, 2], p.docs, doc, {"keys": keys[often], "at": p.of["at"][often]})
-    return pa.Table.from_batches([in_order(batch, PAIRS)])
+def keep_repeated(parts: int):
+    def run(rows: pa.Table) -> pa.Table:
+        p = Parts(rows, ANCHORS)
+        keys = p.of["keys"]
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        often = np.zeros(len(keys), bool)
+        often[order[1:][same]] = True
+        often[order[:-1][same]] = True
+        doc = p.doc[often]
+        return pa.Table.from_batches([deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {c: x[often] for c, x in p.of.items()}, ANCHORS)])
+
+    return run
 
 
-def located(docs: pa.Table, parts: Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all bytes, offsets, row of each document of parts) for documents of one part."""
+def located(docs: pa.Table, parts: Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, offsets, row of each document of parts, document of each row or -1) for documents of one part."""
     data, offs = bytes_of(docs["text"])
-    mine = np.stack([docs[c].to_numpy().astype(np.int64) for c in ("doc", "hash")], 1)
-    both, number = np.unique(np.concatenate([parts.docs[:, :2], mine]), axis=0, return_inverse=True)
-    number = number.reshape(-1)
-    row = np.full(len(both), -1, np.int64)
-    row[number[len(parts.docs) :][::-1]] = np.arange(len(mine))[::-1]
-    return data, offs, row[number[: len(parts.docs)]]
+    mine = doc_table(docs)
+    number = np.searchsorted(parts.docs, mine) if len(parts.docs) else np.zeros(len(mine), np.int64)
+    known = (number < len(parts.docs)) & (parts.docs[np.minimum(number, len(parts.docs) - 1)] == mine) if len(parts.docs) else np.zeros(len(mine), bool)
+    number = np.where(known, number, -1)
+    row = np.zeros(len(parts.docs), np.int64)
+    row[number[known]] = np.flatnonzero(known)
+    return data, offs, row, number
 
 
-def cut_contexts(parts: int, span: int, gram: int):
+def hash_contexts(parts: int, span: int):
     def run(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
-        p = Parts(rows, {"keys": np.uint64, "at": np.int64})
-        if not rows.num_rows or not docs.num_rows:
-            return pa.Table.from_batches([in_order(deal(np.zeros(0, np.int64), p.docs, p.doc, {"keys": np.zeros(0, np.uint64), "at": np.zeros(0, np.int64), "lead": np.zeros(0, np.int64), "size": np.zeros(0, np.int64)}, {"bytes": (np.zeros(0, np.uint8), np.zeros(0, np.int64))}), CONTEXTS)])
-        data, offs, row = located(docs, p)
-        at, low, high = p.of["at"], offs[row[p.doc]], offs[row[p.doc] + 1]
-        start = np.maximum(low + at - (span - gram), low)
-        stop = np.minimum(low + at + span, high)
-        size = stop - start
+        p = Parts(rows, ANCHORS)
+        data, offs, row, _ = located(docs, p)
+        at = p.of["at"] - p.of["lead"]
+        size = p.of["more"] + span
+        start = offs[row[p.doc]] + at
+        order = np.argsort(start)
+        digest = np.empty(len(start), np.uint64)
+        digest[order] = digests(data, start[order], size[order])
         keys = p.of["keys"]
-        batch = deal((keys % np.uint64(parts)).astype(np.int64), p.docs, p.doc, {"keys": keys, "at": start - low, "lead": low + at - start, "size": size}, {"bytes": (gather(data, start, size), size)})
-        return pa.Table.from_batches([in_order(batch, CONTEXTS)])
+        return pa.Table.from_batches([deal((keys % np.uint64(parts)).astype(np.int64), p.docs, p.doc, {"keys": keys, "digest": digest, "at": at, "size": size}, HASHES)])
 
     return run
 
 
-def mark_contexts(span: int):
+MARK, FETCH = 0, 1
+
+
+def compare_contexts(parts: int):
+    """Rows of kind MARK: spans that repeat an earlier context. Of kind FETCH: contexts whose bytes are needed."""
+
     def run(rows: pa.Table) -> pa.Table:
-        p = Parts(rows, {"keys": np.uint64, "at": np.int64, "lead": np.int64, "bytes": np.uint8, "size": np.int64})
+        p = Parts(rows, HASHES)
         at, size = p.of["at"], p.of["size"]
-        number = p.doc * (1 << 40) + at
-        context, start, stop = repeated_in_contexts(p.of["keys"], number, p.of["lead"], p.of["bytes"], size, span)
-        doc, start, stop = merged(p.doc[context], at[context] + start, at[context] + stop)
-        return pa.Table.from_batches([in_order(deal(p.docs[doc, 2], p.docs, doc, {"start": start, "stop": stop}), MARKS)])
+        copies, wanted = compare(p.of["keys"], p.of["digest"], p.doc * (1 << 40) + at)
+        doc, start, stop = merged(p.doc[copies], at[copies], at[copies] + size[copies])
+        marks = deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {"keys": np.zeros(len(doc), np.uint64), "at": start, "stop": stop}, SPANS, MARK)
+        doc = p.doc[wanted]
+        fetch = deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {"keys": p.of["keys"][wanted], "at": at[wanted], "stop": at[wanted] + size[wanted]}, SPANS, FETCH)
+        return pa.Table.from_batches([marks, fetch])
+
+    return run
+
+
+def fetch_contexts(parts: int):
+    def run(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
+        p = Parts(rows, SPANS)
+        data, offs, row, _ = located(docs, p)
+        at, keys = p.of["at"], p.of["keys"]
+        size = p.of["stop"] - at
+        return pa.Table.from_batches([deal((keys % np.uint64(parts)).astype(np.int64), p.docs, p.doc, {"keys": keys, "at": at, "size": size}, TEXTS, spans=(data, offs[row[p.doc]] + at, size))])
 
     return run
 
 
+def index_contexts(parts: int, span: int):
+    def run(rows: pa.Table) -> pa.Table:
+        p = Parts(rows, TEXTS)
+        at = p.of["at"]
+        context, inside = repeated_strings(p.of["keys"], p.doc * (1 << 40) + at, p.of["bytes"], p.of["size"], span)
+        start = at[context] + inside
+        doc, start, stop = merged(p.doc[context], start, start + span)
+        return pa.Table.from_batches([deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {"keys": np.zeros(len(doc), np.uint64), "at": start, "stop": stop}, SPANS, MARK)])
+
+    return run
+
+
+def without(data: np.ndarray, offs: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes kept, removed bytes and maximal removed runs of each text); the spans start : stop of the texts owner go."""
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, offs[owner] + start, 1)
+    np.add.at(change, offs[owner] + stop, -1)
+    gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+    head = gone.copy()
+    head[1:] &= ~gone[:-1]
+    first = offs[:-1][offs[:-1] < len(data)]
+    head[first] = gone[first]  # runs end with their text
+    sums, heads = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(head))
+    return data[~gone], np.diff(sums[offs]), np.diff(heads[offs])
+
+
 def remove_marks(schema: pa.Schema):
     def run(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return schema.empty_table()
-        p = Parts(rows, {"start": np.int64, "stop": np.int64})
-        data, offs, row = located(docs, p)
-        mine = np.stack([docs[c].to_numpy().astype(np.int64) for c in ("doc", "hash")], 1)
-        _, number = np.unique(mine, axis=0, return_inverse=True)
-        number = number.reshape(-1)
-        # rows that repeat (doc_id, text) share their marks: each row takes those of the document with its number
-        lead = np.full(len(mine), -1, np.int64)
-        lead[number[row]] = np.arange(len(row))
+        p = Parts(rows, SPANS)
+        data, offs, _, number = located(docs, p)
         order = np.argsort(p.doc, kind="stable")
-        first, last = np.searchsorted(p.doc[order], [lead, lead + 1])
-        n_marks = np.where(lead >= 0, last - first, 0)[number]
-        owner = np.repeat(np.arange(len(mine)), n_marks)
-        mark = order[np.arange(len(owner)) - np.repeat(np.cumsum(n_marks) - n_marks - first[number], n_marks)]
-        change = np.zeros(len(data) + 1, np.int64)
-        np.add.at(change, offs[owner] + p.of["start"][mark], 1)
-        np.add.at(change, offs[owner] + p.of["stop"][mark], -1)
-        gone = np.cumsum(change[:-1]) > 0
-        head = gone.copy()
-        head[1:] &= ~gone[:-1]
-        inner = offs[1:-1][offs[1:-1] < len(data)]
-        head[inner] |= gone[inner]  # runs end with their document
-        head[inner] &= gone[inner]
-        sums, heads = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(head))
-        removed, spans = sums[offs[1:]] - sums[offs[:-1]], heads[offs[1:]] - heads[offs[:-1]]
-        size = np.diff(offs)
-        kept = data[~gone]
-        edges = np.append(0, np.cumsum(size - removed))
-        text = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(kept.tobytes())])
-        return pa.Table.from_arrays([docs["id"], pa.array(size), pa.array(removed), pa.array(spans), text.cast(pa.binary())], schema=schema)
+        first, last = (np.searchsorted(p.doc[order], number, side) for side in ("left", "right"))  # rows that repeat a document share its marks
+        out, a = [], 0
+        while a < docs.num_rows:
+            b = max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE_BYTES, "right")) - 1)
+            n_marks = (last - first)[a:b]
+            owner = np.repeat(np.arange(b - a), n_marks)
+            mark = order[np.arange(len(owner)) - np.repeat(np.cumsum(n_marks) - n_marks - first[a:b], n_marks)]
+            edges = offs[a : b + 1] - offs[a]
+            kept, removed, runs = without(data[offs[a] : offs[b]], edges, owner, p.of["at"][mark], p.of["stop"][mark])
+            size = np.diff(edges)
+            at = np.append(0, np.cumsum(size - removed))
+            text = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(kept.tobytes())])
+            out.append(pa.RecordBatch.from_arrays([docs["id"].slice(a, b - a).combine_chunks().cast(schema.field("doc_id").type), pa.array(size), pa.array(removed), pa.array(runs), text.cast(pa.binary())], schema=schema))
+            a = b
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -401,24 +490,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Earlier: in a smaller doc_id (null before all), or before it in the same document. Rows that repeat both id and text count as one document
     and all get its result; different texts of one id are ordered by hash. Null text is empty. Texts shorter than span stay whole. Matches are judged on
-    the input and never cross documents. Other columns are not read; an empty table gives an empty result.
+    the input and never cross documents. Other columns are not read; an empty table gives an empty result. doc_id is a whole number; span is 8 to 300.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     gram = min(GRAM, max(1, span // 4))
     kind = docs.schema[doc_id].dataType
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(doc_id).alias("id"), ids.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64("doc", "hash"), F.lit(parts)).cast("int"))
-    found = rows.select("doc", "hash", "part", "text").mapInArrow(find_anchors(parts, span), PAIRS)
-    repeated = found.groupBy("part").applyInArrow(keep_repeated, PAIRS)
-    contexts = rows.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(cut_contexts(parts, span, gram), CONTEXTS)
-    marks = contexts.groupBy("part").applyInArrow(mark_contexts(span), MARKS)
+    rows = rows.withColumn("hash", F.hash("text")).withColumn("part", doc_part(parts))
+    by_part = rows.groupBy("part")
+    found = rows.select("doc", "hash", "text").mapInArrow(find_anchors(parts, span, gram), packed(ANCHORS))
+    repeated = found.groupBy("part").applyInArrow(keep_repeated(parts), packed(ANCHORS))
+    hashed = by_part.cogroup(repeated.groupBy("part")).applyInArrow(hash_contexts(parts, span), packed(HASHES))
+    judged = hashed.groupBy("part").applyInArrow(compare_contexts(parts), packed(SPANS))
+    texts = by_part.cogroup(judged.where(f"kind = {FETCH}").groupBy("part")).applyInArrow(fetch_contexts(parts), packed(TEXTS))
+    marks = judged.where(f"kind = {MARK}").unionByName(texts.groupBy("part").applyInArrow(index_contexts(parts, span), packed(SPANS)))
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     arrow = pa.schema([("doc_id", pa.int64() if isinstance(kind, T.LongType) else pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-    return rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(remove_marks(arrow), out)
+    return by_part.cogroup(marks.groupBy("part")).applyInArrow(remove_marks(arrow), out)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
