@@ -1,9 +1,9 @@
 """Best-fit-decreasing packing of tokenised documents into sequences of a fixed number of tokens.
 
-A document of more tokens than a sequence holds is cut from its end into full pieces; only its first piece is shorter. Full pieces are
-sequences of their own. All other pieces, one per document at most, are dealt by hash into groups of about GROUP_ROWS, and each group
-is packed best fit decreasing: a segment tree over remaining capacities finds the tightest open bin in logarithmic time per
-document. A group wastes a few bins' rest at most, which is why the number of groups may grow with the input.
+A document of more tokens than a sequence holds is cut from its end into full pieces; only its first piece is shorter. Pieces
+are dealt by hash into groups of about GROUP_ROWS documents, and each group is packed best fit decreasing: full pieces fill a sequence each,
+and for all others a segment tree over remaining capacities finds the tightest open bin in logarithmic time per document. A group
+wastes a few bins' rest at most, which is why the number of groups may grow with the input.
 """
 
 from __future__ import annotations
@@ -115,12 +115,10 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
 def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """pieces (doc_id, piece, length, more columns) plus sequence_id and offset; a sequence's pieces fill it without gaps from 0.
 
-    n_docs: number of documents, which bounds the pieces shorter than a sequence.
+    n_docs: number of documents, which bounds the pieces shorter than a sequence; full pieces come on top.
     """
     groups = max(1, -(-n_docs // group_rows))
-    full = pieces.where(F.col("length") == capacity)
-    full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    short = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(group: pa.Table) -> pa.Table:
@@ -129,7 +127,7 @@ def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group_rows: i
         number = int(group["group"][0].as_py()) if group.num_rows else 0
         return group.drop_columns(["group"]).append_column("sequence_id", pa.array((number << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    return full.unionByName(short.groupBy("group").applyInArrow(run, schema))
+    return dealt.groupBy("group").applyInArrow(run, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
