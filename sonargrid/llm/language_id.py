@@ -67,8 +67,8 @@ class Ppm:
         while True:
             levels = [np.zeros(1, np.int64)]
             for k in range(1, order + 1):
-                codes = np.concatenate([c // base for c, _ in counts[k]])
-                sums = np.concatenate([n for _, n in counts[k]])
+                codes = np.concatenate([np.zeros(0, np.int64), *(c // base for c, _ in counts[k])])
+                sums = np.concatenate([np.zeros(0, np.int64), *(n for _, n in counts[k])])
                 u, inv = np.unique(codes, return_inverse=True)
                 kept = u[np.bincount(inv, sums, len(u)) >= least]
                 known = np.isin(kept // base, levels[-1], kind="sort") & np.isin(kept % base ** (k - 1), levels[-1], kind="sort")

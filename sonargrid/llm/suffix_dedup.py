@@ -321,7 +321,7 @@ def deal(part: np.ndarray, docs: np.ndarray, doc: np.ndarray, columns: dict[str,
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else np.zeros(0, np.int64)
     out: dict[str, list] = {c: [] for c in ("part", "kind", "docs", "doc", *kinds)}
-    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
         these = order[a:b]
         used, local = np.unique(doc[these], return_inverse=True)
         out["part"].append(int(part[these[0]]))
