@@ -32,6 +32,8 @@ PERCENT = 80
 SCHEMES = 4
 TEXT_BYTES = 4 << 20
 FILTER_WORDS = 1 << 20
+#: Pairs of a block that are tested at once.
+BLOCK_PAIRS = 2000
 FOUND = "kind int, a long, b long, n long, data binary"
 DOC, EDGE, BUCKET = 0, 1, 2
 
@@ -270,23 +272,40 @@ def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "n"]).filter(kept)
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (classes with component, size, sketch) to pairs of different components that may link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in batches:
-        pairs = set()
-        for members in batch.column("members").to_pylist():
-            by: dict[int, list[dict]] = {}
-            for m in members:
-                by.setdefault(m["component"], []).append(m)
-            groups = list(by.values())
-            for i, g in enumerate(groups):
-                for h in groups[:i]:
-                    for x in g:
-                        for y in h:
-                            if may_link(x["n"], y["n"], x["sketch"], y["sketch"]):
-                                pairs.add((min(x["node"], y["node"]), max(x["node"], y["node"])))
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
+def cross_pairs(turn: int):
+    """Blocks (block, members with component, size, sketch) to pairs of different components that may link; a row without a pair says that the block has more.
+
+    A block with up to BLOCK_PAIRS such pairs is tested whole. Of a larger one each turn tests a share that grows fourfold and ends at all, chosen
+    by hash: by the next turn most of its classes are in one component.
+    """
+    low, high = (4.0 ** (turn - 1) / 1024 if turn else 0.0), min(1.0, 4.0**turn / 1024)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, more = set(), False
+            for block, members in zip(batch.column("block").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                node, component, n = (np.array([m[c] for m in members], np.int64) for c in ("node", "component", "n"))
+                width = min(len(m["sketch"]) for m in members)
+                sketch = np.stack([np.bitwise_xor.reduce(np.frombuffer(m["sketch"], np.uint64).reshape(-1, width // 8), 0) for m in members])
+                _, sizes = np.unique(component, return_counts=True)
+                whole = (len(node) ** 2 - int((sizes.astype(np.int64) ** 2).sum())) // 2 <= BLOCK_PAIRS or high >= 1
+                more |= not whole
+                for i in range(1, len(node)):
+                    other = component[:i] != component[i]
+                    other &= (5 * n[:i] >= 4 * n[i]) & (5 * n[i] >= 4 * n[:i])
+                    if not whole or low:
+                        a, b = np.minimum(node[:i], node[i]).astype(np.uint64), np.maximum(node[:i], node[i]).astype(np.uint64)
+                        draw = (scramble(a * np.uint64(BASE) + scramble(b + np.uint64(block & ((1 << 63) - 1)))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+                        other &= (draw < high if not whole else True) & (draw >= low)
+                    j = np.flatnonzero(other)
+                    if len(j):
+                        far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
+                        j = j[far <= (n[j] + n[i]) // 9]
+                        found.update((min(int(x), int(node[i])), max(int(x), int(node[i]))) for x in node[j])
+            pairs = [*found, *([(None, None)] if more else [])]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +336,12 @@ def class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, codes) of the classes whose first documents are wanted (doc_id). A Bloom filter of at most FILTER_WORDS words picks the texts; its false hits are harmless."""
+    """(node, codes) of the classes whose first documents are wanted (doc_id). A Bloom filter of at most FILTER_WORDS words picks the texts; its false hits are harmless: a class twice gives its links twice."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
     words = cut(wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {64 * FILTER_WORDS}) & 63 as int))")).alias("bits")), "wanted")
     hit = docs.join(F.broadcast(words), F.shiftright(slot, 6) == F.col("word"))
     hit = hit.where(F.expr(f"(shiftright(bits, cast(pmod(xxhash64(doc_id), {64 * FILTER_WORDS}) & 63 as int)) & 1) = 1"))
-    return cut(hit.select("text").mapInArrow(class_sets, "node long, codes binary").dropDuplicates(["node"]), "sets")
+    return cut(hit.select("text").mapInArrow(class_sets, "node long, codes binary"), "sets")
 
 
 def link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -365,25 +384,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
         return fetch_sets(rows, nodes.join(groups, "class_id").select(F.col("first_id").alias("doc_id")))
 
+    def ends_of(label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+
+    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs whose ends are not in one component yet."""
+        a, b = ends_of(label)
+        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    # the candidate that shares most blocks with a class, then the other candidates of different components
     sets = sets_of(edges)
     best = edges.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
     links = cut(link(best, sets), "links")
     label = components(links)
-    # what is left to test: candidates, and pairs within blocks, of different components
-    ends = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    open_edges = edges.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    open_edges = open_edges.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = cut(apart(edges.select("a", "b").join(best, ["a", "b"], "left_anti"), label), "rest")
+    if rest.count():
+        links = cut(links.unionByName(link(rest, sets)), "links")
+        label = components(links)
+    # all other pairs within blocks, of different components
     block = found.where(f"kind = {BUCKET}").select(F.xxhash64("data").alias("block"), "data").dropDuplicates(["block"])
-    member = block.mapInArrow(members, "block long, node long").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = cut(member, "members")
-    mixed = member.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("block")
-    full = member.join(mixed, "block").join(groups.select(F.col("class_id").alias("node"), "n", "sketch"), "node")
-    crossed = full.groupBy("block").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members")).select("members").mapInArrow(cross_pairs, "a long, b long")
-    late = cut(open_edges.unionByName(crossed).distinct().join(edges.select("a", "b").join(open_edges, ["a", "b"], "left_anti"), ["a", "b"], "left_anti"), "late")
-    drop_cut(member)
-    if late.limit(1).count():
-        more = sets_of(late)
-        links = links.unionByName(link(late, more))
+    member = cut(block.mapInArrow(members, "block long, node long"), "members")
+    for turn in range(6):
+        labelled = member.join(label, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
+        mixed = labelled.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("block")
+        full = cut(labelled.join(mixed, "block"), "mixed")
+        described_members = full.join(groups.select(F.col("class_id").alias("node"), "n", "sketch"), "node")
+        blocks_of = described_members.groupBy("block").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members"))
+        crossed = cut(blocks_of.mapInArrow(cross_pairs(turn), "a long, b long").distinct(), "crossed")
+        more = crossed.where("a IS NULL").limit(1).count()
+        late = crossed.where("a IS NOT NULL")
+        if late.limit(1).count():
+            links = cut(links.unionByName(link(late, sets_of(late))), "links")
+            label = components(links)
+        drop_cut(member)
+        if not more:
+            break
+        member = cut(full.select("block", "node"), "members")
+        drop_cut(full)
     first = groups.select("class_id", "first_id")
     by_doc = links.join(first.withColumnsRenamed({"class_id": "a", "first_id": "fa"}), "a").join(first.withColumnsRenamed({"class_id": "b", "first_id": "fb"}), "b")
     label = components(by_doc.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
