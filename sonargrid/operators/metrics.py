@@ -353,3 +353,107 @@ def token_hits(target: DataFrame, predicted: DataFrame, keys: Keys, token: int,
     t = target.where(F.col("token") == token).select(*keys, "pos")
     p = predicted.where(F.col("token") == token).select(*keys, F.explode(F.sequence(F.col("pos") - tolerance, F.col("pos") + tolerance)).alias("pos")).distinct().withColumn("hit", F.lit(1))
     return t.join(p, [*keys, "pos"], "left").groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("accuracy"))
+
+
+def punctuation_errors(df: DataFrame, reference: str, hypothesis: str, marks: str = ".,!?") -> DataFrame:
+    """Per mark and in total: hits, substitutions, deletions, insertions and their rate, from alignments of words and marks."""
+    @F.pandas_udf("array<struct<mark: string, op: string>>")
+    def found(rs: pd.Series, hs: pd.Series) -> pd.Series:
+        out = []
+        for r, h in zip(rs, hs, strict=True):
+            a, b = (("".join(f" {c} " if c in marks else c for c in (t or "").lower())).split() for t in (r, h))
+            row = []
+            for op, i, j in align(a, b):
+                left, right = a[i] if op in "=sd" else None, b[j] if op in "=si" else None
+                if left in set(marks):
+                    row.append({"mark": left, "op": "hit" if op == "=" else "sub" if op == "s" and right in set(marks) else "del"})
+                elif right in set(marks):
+                    row.append({"mark": right, "op": "ins"})
+            out.append(row)
+        return pd.Series(out)
+
+    rows = df.select(F.explode(found(reference, hypothesis)).alias("e")).select("e.mark", "e.op")
+    sums = with_total(rows, ["mark"], *(F.sum((F.col("op") == o).cast("long")).alias(n) for o, n in (("hit", "hits"), ("sub", "substitutions"), ("del", "deletions"), ("ins", "insertions"))))
+    wrong = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return sums.withColumn("rate", ratio(wrong, wrong + F.col("hits")))
+
+
+def keyword_scores(df: DataFrame, reference: str, hypothesis: str, keywords: list[str]) -> DataFrame:
+    """Per keyword and TOTAL: found, wanted, precision, recall and F1 of aligned words."""
+    wanted = set(keywords)
+
+    @F.pandas_udf("array<struct<word: string, tp: int, fp: int, fn: int>>")
+    def found(rs: pd.Series, hs: pd.Series) -> pd.Series:
+        out = []
+        for r, h in zip(rs, hs, strict=True):
+            a, b = (r or "").split(), (h or "").split()
+            row = []
+            for op, i, j in align(a, b):
+                if op in "=sd" and a[i] in wanted:
+                    row.append({"word": a[i], "tp": int(op == "="), "fp": 0, "fn": int(op != "=")})
+                if op in "si" and b[j] in wanted:
+                    row.append({"word": b[j], "tp": 0, "fp": 1, "fn": 0})
+            out.append(row)
+        return pd.Series(out)
+
+    rows = df.select(F.explode(found(reference, hypothesis)).alias("e")).select("e.*")
+    sums = with_total(rows, ["word"], *(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return sums.select("word", "tp", "fp", "fn", *precision_recall(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")))
+
+
+def exact_match(df: DataFrame, category: str, reference: str, hypothesis: str) -> DataFrame:
+    """Rate of equal strings per category and overall."""
+    hit = F.sum((F.col(reference).eqNullSafe(F.col(hypothesis))).cast("long")).alias("hits")
+    return with_total(df, [category], hit, F.count(F.lit(1)).alias("n")).withColumn("rate", ratio(F.col("hits"), F.col("n")))
+
+
+def empty_rate(df: DataFrame, hypothesis: str, *keys: str) -> DataFrame:
+    """Share of blank hypotheses."""
+    blank = (F.trim(F.coalesce(F.col(hypothesis), F.lit(""))) == "").cast("double")
+    return df.groupBy(*keys).agg(F.sum(blank).cast("long").alias("empty"), F.avg(blank).alias("rate"))
+
+
+def top_k_accuracy(df: DataFrame, scores: str, label: str, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """Share of rows whose label (an index) is among the k best scores, from summed hits."""
+    order = F.transform(F.sort_array(F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i")))), lambda p: p["i"])
+    place = F.array_position(order, F.col(label))
+    return df.agg(*(F.avg(((place > 0) & (place <= k)).cast("double")).alias(f"top_{k}") for k in ks))
+
+
+def multi_label_scores(df: DataFrame, keys: Keys, threshold: float = 0.5) -> DataFrame:
+    """Precision, recall, F1 of frames x speakers (label, score), per key and TOTAL."""
+    hit = F.col("score") >= threshold
+    sums = with_total(df, keys, F.sum((hit & (F.col("label") == 1)).cast("long")).alias("tp"), F.sum(hit.cast("long")).alias("found"), F.sum("label").alias("wanted"))
+    return sums.select(*keys, "tp", "found", "wanted", *precision_recall(F.col("tp"), F.col("found"), F.col("wanted")))
+
+
+def constrained_mean(df: DataFrame, value: str, constraints: dict[str, str]) -> DataFrame:
+    """Mean of value over the rows of each named constraint, in one pass."""
+    from ..functions.predicates import constraint
+
+    return df.agg(*(F.avg(F.when(constraint(text), F.col(value))).alias(name) for name, text in constraints.items()))
+
+
+def frechet(a_mean: np.ndarray, a_cov: np.ndarray, b_mean: np.ndarray, b_cov: np.ndarray) -> float:
+    """Distance of two Gaussians. The root of the product's trace comes from the eigenvalues of the symmetric form."""
+    values, vectors = np.linalg.eigh(a_cov)
+    root = vectors @ np.diag(np.sqrt(np.maximum(values, 0))) @ vectors.T
+    cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ b_cov @ root), 0)).sum()
+    return float(((a_mean - b_mean) ** 2).sum() + np.trace(a_cov) + np.trace(b_cov) - 2 * cross)
+
+
+def frechet_distance(a: DataFrame, b: DataFrame, vector: str) -> float:
+    """Distance of the Gaussian fits of two sets of vectors; the driver gets means and covariances, a bound by the vector's width."""
+    from .statistics import covariance
+
+    fits = []
+    for df in (a, b):
+        means = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).collect()
+        n = len(means)
+        mean, cov = np.zeros(n), np.zeros((n, n))
+        for r in means:
+            mean[r["i"]] = r["m"]
+        for r in covariance(df, vector).collect():
+            cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
+        fits += [mean, cov]
+    return frechet(*fits)

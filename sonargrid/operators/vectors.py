@@ -259,3 +259,26 @@ def graph_components(edges: DataFrame, keys: Keys) -> DataFrame:
         labels = new.drop("old")
         if not changed:
             return labels
+
+
+def stitched_labels(old: DataFrame, new: DataFrame, keys: Keys, item: str) -> DataFrame:
+    """new (keys, item, label) renamed to the labels of old with which they agree most, one to one; labels without a partner follow after the old ones."""
+    from .joins import assign
+
+    both = old.withColumnRenamed("label", "was").join(new, [*keys, item]).groupBy(*keys, "was", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = assign(both, keys, "label", "was", "n").drop("n")
+    last = old.groupBy(*keys).agg(F.max("label").alias("last"))
+    rest = new.select(*keys, "label").distinct().join(pairs, [*keys, "label"], "left_anti")
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("label"))
+    fresh = rest.join(last, keys, "left").withColumn("was", F.coalesce("last", F.lit(-1)) + order).drop("last")
+    named = pairs.select(*keys, "label", F.col("was").cast("long")).unionByName(fresh.select(*keys, "label", F.col("was").cast("long")))
+    return new.join(named, [*keys, "label"]).drop("label").withColumnRenamed("was", "label")
+
+
+def l1_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def weighted_scales(sims: DataFrame, weights: DataFrame, keys: Keys) -> DataFrame:
+    """Affinities per scale (keys, scale, i, j, sim), items mapped to the base scale, summed with the scales' weights."""
+    return sims.join(F.broadcast(weights), "scale").groupBy(*keys, "i", "j").agg(F.sum(F.col("sim") * F.col("weight")).alias("sim"))
