@@ -159,7 +159,7 @@ def k_means(x: np.ndarray, k: int, seed: int = 0, rounds: int = 100) -> np.ndarr
     return best
 
 
-def nme_spectral(x: np.ndarray, most: int = 8, known: int | None = None, max_share: float = 0.25, seed: int = 0) -> np.ndarray:
+def spectral_labels(x: np.ndarray, most: int = 8, known: int | None = None, max_share: float = 0.25, seed: int = 0) -> np.ndarray:
     """Labels by spectral clustering of a neighbour graph whose width p has the least ratio of p / n to the normalised largest eigengap."""
     n = len(x)
     if n <= 2:
@@ -217,7 +217,7 @@ def cluster_sessions(df: DataFrame, session: str, item: str, vector: str, method
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(item)
         x = np.stack(rows[vector].to_numpy()).astype(float)
-        label = nme_spectral(x, **options) if method == "spectral" else average_linkage(x, **options)
+        label = spectral_labels(x, **options) if method == "spectral" else average_linkage(x, **options)
         return pd.DataFrame({session: rows[session], item: rows[item], "cluster": label})
 
     return df.select(session, item, vector).groupBy(session).applyInPandas(one, f"`{session}` {kind[session]}, `{item}` {kind[item]}, cluster long")
