@@ -18,7 +18,7 @@ def mean_step(df: DataFrame, keys: Keys, value: str = "score", order: str = "fra
     return df.withColumn("_s", step).groupBy(*keys).agg(mean_or_zero("_s").alias("mean_step"))
 
 
-def min_max(df: DataFrame, keys: Keys, value: str, default: float = 0.5) -> Column:
+def min_max(keys: Keys, value: str, default: float = 0.5) -> Column:
     """value scaled to 0 ... 1 within the key; default if all are equal or the value isn't finite. Infinite values don't stretch the range."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     finite = ~(F.isnan(value) | (F.abs(value) == float("inf")))
