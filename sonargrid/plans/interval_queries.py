@@ -180,7 +180,7 @@ def grouped_windows(spark, sf_dir):
 
 
 @query(f"""WITH {INTERVALS}, x AS (SELECT *, sum(CASE WHEN channel IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS turn FROM (SELECT *, lag(channel) OVER (PARTITION BY user_id ORDER BY s, e) AS p FROM iv))
-SELECT user_id, turn, channel AS speaker, min(s) AS start, max(e) AS "end", string_agg(event_id::VARCHAR, ' ' ORDER BY s, e, event_id::VARCHAR) AS text FROM x GROUP BY 1, 2, 3""")
+SELECT user_id, turn::BIGINT AS turn, channel AS speaker, min(s) AS start, max(e) AS "end", string_agg(event_id::VARCHAR, ' ' ORDER BY s, e, event_id::VARCHAR) AS text FROM x GROUP BY 1, 2, 3""")
 def words_to_turns(spark, sf_dir):
     words = intervals(spark, sf_dir).select("user_id", "start", "end", F.col("channel").alias("speaker"), F.col("event_id").cast("string").alias("word"))
     return iv.turns_of_words(words, ["user_id"])

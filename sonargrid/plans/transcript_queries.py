@@ -28,13 +28,13 @@ def texts_by_speaker(spark, sf_dir):
 
 @query(f"""WITH {INTERVALS}, x AS (SELECT *, CASE WHEN right(lag(event_id::VARCHAR) OVER w, 1) IN ('0', '5') OR lag(e) OVER w IS NULL OR s - lag(e) OVER w >= 3600000000 THEN 1 ELSE 0 END AS nw FROM iv WINDOW w AS (PARTITION BY user_id ORDER BY s, e)),
 y AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS segment FROM x)
-SELECT user_id, segment, min(s) AS start, max(e) AS "end", count(*) AS n_words, string_agg(event_id::VARCHAR, ' ' ORDER BY s, e, event_id::VARCHAR) AS text FROM y GROUP BY 1, 2""")
+SELECT user_id, segment::BIGINT AS segment, min(s) AS start, max(e) AS "end", count(*) AS n_words, string_agg(event_id::VARCHAR, ' ' ORDER BY s, e, event_id::VARCHAR) AS text FROM y GROUP BY 1, 2""")
 def segments_of_words(spark, sf_dir):
     return iv.segments_of_words(words(spark, sf_dir).drop("speaker"), ["user_id"], 3_600_000_000, ("0", "5"))
 
 
 @query("""WITH x AS (SELECT source AS shard, lang, doc_id, CASE WHEN lag(lang) OVER (PARTITION BY source ORDER BY doc_id) IS NOT DISTINCT FROM lang THEN 0 ELSE 1 END AS nw FROM documents), y AS (SELECT *, sum(nw) OVER (PARTITION BY shard ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM x)
-SELECT shard, run, lang, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS text, count(*) AS n FROM y GROUP BY 1, 2, 3""")
+SELECT shard, run::BIGINT AS run, lang, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS text, count(*) AS n FROM y GROUP BY 1, 2, 3""")
 def merged_runs(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("shard"), "lang", "doc_id", F.col("doc_id").cast("string").alias("text"))
     return tr.merged_runs(rows, "lang", "doc_id", "shard")

@@ -33,7 +33,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select("user_id", place.alias("frame"), (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0).alias("score"))
+    return e.select("user_id", place.cast("long").alias("frame"), (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0).alias("score"))
 
 
 FRAMES = "fr AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, ((event_id * 37) % 101) / 100.0::DOUBLE AS score FROM events)"
@@ -45,7 +45,7 @@ def channel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events").withColumn("channel", (F.col("event_id") % 3).cast("int"))
     place = F.row_number().over(Window.partitionBy("user_id", "channel").orderBy("ts", "event_id")) - 1
-    return e.select("user_id", "channel", place.alias("frame"), (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0).alias("score"))
+    return e.select("user_id", "channel", place.cast("long").alias("frame"), (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100.0).alias("score"))
 
 
 CHANNEL_FRAMES = "cf AS (SELECT user_id, (event_id % 3)::INT AS channel, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) - 1 AS frame, ((event_id * 37) % 101) / 100.0::DOUBLE AS score FROM events)"
