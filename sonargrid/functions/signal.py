@@ -246,3 +246,19 @@ def augmented(df: DataFrame, key: str, samples: str, steps: list[tuple[float, st
         return pd.Series(out)
 
     return df.withColumn(samples, run(F.xxhash64(key, F.lit(seed)), F.col(samples)))
+
+
+def coherence(spectra: np.ndarray, eps: float = 1e-10) -> np.ndarray:
+    """Complex coherence of channels per frequency: spectra (channels, frequencies, frames) to (frequencies, channels, channels)."""
+    s = np.moveaxis(np.asarray(spectra), 0, 1)
+    cross = s @ s.conj().swapaxes(1, 2) / s.shape[2]
+    power = np.einsum("fcc->fc", cross).real
+    return cross / np.sqrt(power[:, :, None] * power[:, None, :] + eps)
+
+
+def spliced(df: DataFrame, keys: list[str], vector: str, n: int) -> DataFrame:
+    """Each frame's vector with those of the next n - 1 frames behind it; past the end the last frame repeats."""
+    w = Window.partitionBy(*keys).orderBy("frame")
+    last = F.last(vector).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = [F.coalesce(F.lead(vector, i).over(w), last) if i else F.col(vector) for i in range(n)]
+    return df.withColumn(vector, F.concat(*parts))

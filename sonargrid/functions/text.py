@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 import unicodedata
 
@@ -294,3 +295,60 @@ def fixed(x: Column, digits: int = 2) -> Column:
 
 def label_line(start: Column, end: Column, speaker: Column, word: Column) -> Column:
     return F.concat_ws("\t", fixed(start), fixed(end), F.concat(F.lit("["), speaker, F.lit("] "), word))
+
+
+TENS = ["", "ten", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+TEENS = ["ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+SCALES = ["", "thousand", "million", "billion", "trillion"]
+# Ordinals that aren't the number with "th".
+ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+CURRENCIES = {"$": ("dollar", "cent"), "£": ("pound", "penny"), "€": ("euro", "cent")}
+
+
+def spell(n: int) -> str:
+    """A whole number in English words."""
+    if n == 0:
+        return DIGIT_WORDS[0]
+    parts, scale = [], 0
+    while n:
+        n, group = divmod(n, 1000)
+        if group:
+            hundreds, rest = divmod(group, 100)
+            words = [DIGIT_WORDS[hundreds], "hundred"] if hundreds else []
+            if 10 <= rest < 20:
+                words.append(TEENS[rest - 10])
+            else:
+                words += [w for w in (TENS[rest // 10], DIGIT_WORDS[rest % 10] if rest % 10 else "") if w]
+            parts.append(" ".join([*words, SCALES[scale]]).strip() if scale < len(SCALES) else " ".join(DIGIT_WORDS[int(c)] for c in str(group)))
+        scale += 1
+    return " ".join(reversed(parts))
+
+
+def spell_ordinal(n: int) -> str:
+    *head, last = spell(n).split(" ")
+    last = ORDINALS.get(last, last[:-1] + "ieth" if last.endswith("y") else last + "th")
+    return " ".join([*head, last])
+
+
+def _amount(symbol: str, whole: str, cents: str | None) -> str:
+    unit, small = CURRENCIES[symbol]
+    plural = lambda n, name: f"{spell(n)} {name if n == 1 else {'penny': 'pence'}.get(name, name + 's')}"
+    parts = [plural(int(whole), unit)] if int(whole) or not cents else []
+    return ", ".join(parts + ([plural(int(cents.ljust(2, '0')[:2]), small)] if cents and int(cents) else []))
+
+
+def spell_numbers(text: str) -> str:
+    """Amounts, ordinals, decimals and numbers (with thousands' commas) in English words."""
+    text = re.sub(r"(?<=\d),(?=\d{3}\b)", "", text)
+    text = re.sub(r"([$£€])(\d+)(?:\.(\d{1,2})\b)?", lambda m: _amount(m[1], m[2], m[3]), text)
+    text = re.sub(r"\b(\d+)(?:st|nd|rd|th)\b", lambda m: spell_ordinal(int(m[1])), text)
+    text = re.sub(r"\b(\d+)\.(\d+)\b", lambda m: f"{spell(int(m[1]))} point {' '.join(DIGIT_WORDS[int(c)] for c in m[2])}", text)
+    return re.sub(r"\d+", lambda m: spell(int(m[0])), text)
+
+
+def numbers_spelled(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else spell_numbers(t))
+
+    return run(text)

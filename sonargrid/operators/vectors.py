@@ -282,3 +282,45 @@ def l1_distance(a: Column, b: Column) -> Column:
 def weighted_scales(sims: DataFrame, weights: DataFrame, keys: Keys) -> DataFrame:
     """Affinities per scale (keys, scale, i, j, sim), items mapped to the base scale, summed with the scales' weights."""
     return sims.join(F.broadcast(weights), "scale").groupBy(*keys, "i", "j").agg(F.sum(F.col("sim") * F.col("weight")).alias("sim"))
+
+
+def with_anchors(x: np.ndarray, speakers: int, samples: int, spread: float, rng: np.random.Generator) -> np.ndarray:
+    """x behind synthetic speakers: random unit centres with samples around each, which steady the counting of few vectors."""
+    width = x.shape[1]
+    centres = rng.normal(size=(speakers, width))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    noise = rng.normal(size=(speakers, samples, width)) * spread / np.sqrt(width)
+    return np.concatenate([(centres[:, None] + noise).reshape(-1, width) * np.linalg.norm(x, axis=1).mean(), x])
+
+
+def anchored_count(x: np.ndarray, trials: int = 5, speakers: int = 3, samples: int = 10, spread: float = 0.1, seed: int = 0) -> int:
+    """Number of clusters of few vectors: the most frequent count over random anchors, less the anchors."""
+    counts = []
+    for t in range(trials):
+        y = with_anchors(x, speakers, samples, spread, np.random.default_rng(seed + t))
+        sim = rows_to_unit_range(cosine_matrix(y))
+        best, ratio = speakers + 1, np.inf
+        for p in range(2, max(3, samples)):
+            k, gap = eigen_gap(top_mask(sim, p), speakers + min(len(x), 8))
+            if gap > 0 and (p / len(y)) / gap < ratio:
+                best, ratio = k, (p / len(y)) / gap
+        counts.append(max(1, best - speakers))
+    values, n = np.unique(counts, return_counts=True)
+    return int(values[n.argmax()])
+
+
+def reduced(x: np.ndarray, labels: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most most vectors: in the largest cluster the two closest become their mean, again and again."""
+    x, labels = [np.asarray(v, float) for v in x], list(labels)
+    while len(x) > most:
+        names, n = np.unique(labels, return_counts=True)
+        own = [i for i, v in enumerate(labels) if v == names[n.argmax()]]
+        if len(own) < 2:
+            break
+        sim = cosine_matrix(np.array([x[i] for i in own]))
+        np.fill_diagonal(sim, -np.inf)
+        a, b = divmod(int(sim.argmax()), len(own))
+        i, j = own[min(a, b)], own[max(a, b)]
+        x[i] = (x[i] + x[j]) / 2
+        del x[j], labels[j]
+    return np.array(x), np.array(labels)

@@ -132,3 +132,17 @@ def test_streams_equal_batch(spark, tmp_path):
     finally:
         query.stop()
     assert got == [(1, 0, [0, 1, 2]), (1, 1, [3]), (1, 2, [4]), (1, 3, [5]), (2, 0, [7, 8])]
+
+
+def test_numbers(spark):
+    assert tx.spell(0) == "zero" and tx.spell(1_215_040) == "one million two hundred fifteen thousand forty"
+    assert one(spark, tx.numbers_spelled(F.lit("Pay $1,200.50 on the 21st, 3.14 or 7"))) == "Pay one thousand two hundred dollars, fifty cents on the twenty first, three point one four or seven"
+    assert tx.spell_ordinal(20) == "twentieth" and tx.spell_numbers("£1 and €0.05") == "one pound and five cents"
+
+
+def test_coherence_and_splice(spark):
+    rng = np.random.default_rng(0)
+    s = rng.normal(size=(1, 4, 50)) + 1j * rng.normal(size=(1, 4, 50))
+    assert np.abs(sg.coherence(np.concatenate([s, 2 * s]))) == pytest.approx(np.ones((4, 2, 2)), abs=1e-6)
+    df = spark.createDataFrame([("f", i, [float(i)]) for i in range(3)], "k string, frame int, v array<double>")
+    assert [r["v"] for r in sg.spliced(df, ["k"], "v", 2).orderBy("frame").collect()] == [[0, 1], [1, 2], [2, 2]]

@@ -110,3 +110,12 @@ def test_greedy_linking_and_turns(spark):
     words = spark.createDataFrame([("s", float(i), i + 0.5, float(i)) for i in range(4)], "k string, start double, end double, t double")
     turns = spark.createDataFrame([("s", 0.0, 1.0, "A"), ("s", 1.0, 1.5, "B"), ("s", 1.5, 9.0, "C")], "k string, start double, end double, speaker string")
     assert [r["speaker"] for r in words_to_turns(words, turns, ["k"]).orderBy("start").collect()] == ["A", "A", "B", "C"]
+
+
+def test_anchors_and_reduction():
+    rng = np.random.default_rng(3)
+    centres = np.eye(16)[:2]
+    x = np.concatenate([c + rng.normal(0, 0.02, (10, 16)) for c in centres])
+    assert ve.anchored_count(x) == 2
+    small, labels = ve.reduced(x, np.repeat([0, 1], 10), 6)
+    assert len(small) == 6 and sorted(np.bincount(labels)) == [3, 3] and np.abs(small - centres[labels]).max() < 0.1
