@@ -61,7 +61,8 @@ def sweep(df: DataFrame, keys: Keys, weight: Column | None = None) -> DataFrame:
     """Atomic pieces (keys, start, end, level) between consecutive cut points; level sums the weights (1 each) of the intervals that cover the piece."""
     weight = F.lit(1) if weight is None else weight
     edges = df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("t"), weight.alias("w")), F.struct(F.col("end").alias("t"), (-weight).alias("w")))).alias("e"))
-    points = edges.groupBy(*keys, F.col("e.t").alias("start")).agg(F.sum("e.w").alias("step"))
+    # dealt by key once: the sums per time, the running level and a merge behind it need no further shuffle
+    points = edges.repartition(*keys).groupBy(*keys, F.col("e.t").alias("start")).agg(F.sum("e.w").alias("step"))
     w = Window.partitionBy(*keys).orderBy("start")
     pieces = points.withColumn("level", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("start").over(w))
     return pieces.where("end IS NOT NULL").select(*keys, "start", "end", "level")
@@ -271,7 +272,7 @@ def atomic_timeline(region: DataFrame, reference: DataFrame, hypothesis: DataFra
     rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
     edge = F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("s")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("s")))
     edges = rows.select(*keys, "r", "h", "u", F.explode(edge).alias("e"))
-    points = edges.groupBy(*keys, F.col("e.t").alias("start")).agg(*(F.sum(F.col(c) * F.col("e.s")).alias(c) for c in ("r", "h", "u")))
+    points = edges.repartition(*keys).groupBy(*keys, F.col("e.t").alias("start")).agg(*(F.sum(F.col(c) * F.col("e.s")).alias(c) for c in ("r", "h", "u")))
     w = Window.partitionBy(*keys).orderBy("start")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     out = points.select(*keys, "start", F.lead("start").over(w).alias("end"), *(F.sum(c).over(run).alias(n) for c, n in (("r", "n_ref"), ("h", "n_hyp"), ("u", "inside"))))

@@ -39,11 +39,16 @@ def diarization_error(spark, sf_dir):
     return me.diarization_error(segments(spark, sf_dir, 0), segments(spark, sf_dir, 1), ["user_id"], HOUR, collar=HOUR // 240)
 
 
-@query()
+@query(f"""WITH {INTERVALS}, a AS (SELECT user_id, s, e FROM iv WHERE event_id % 2 = 0), b AS (SELECT user_id, s, e FROM iv WHERE event_id % 2 = 1), {merged_sql('a', 0, 'ma')}, {merged_sql('b', 0, 'mb')},
+ev AS (SELECT user_id, s AS t, 1 AS r, 0 AS h FROM ma UNION ALL SELECT user_id, e, -1, 0 FROM ma UNION ALL SELECT user_id, s, 0, 1 FROM mb UNION ALL SELECT user_id, e, 0, -1 FROM mb), pt AS (SELECT user_id, t, sum(r) AS r, sum(h) AS h FROM ev GROUP BY 1, 2),
+sw AS (SELECT user_id, lead(t) OVER w - t AS d, sum(r) OVER x AS r, sum(h) OVER x AS h FROM pt WINDOW w AS (PARTITION BY user_id ORDER BY t), x AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT CASE WHEN grouping(user_id) = 1 THEN 'TOTAL' ELSE user_id::VARCHAR END AS user_id, sum(CASE WHEN r > 0 THEN d ELSE 0 END)::BIGINT AS scored, sum(CASE WHEN r > h THEN d ELSE 0 END)::BIGINT AS miss, sum(CASE WHEN r < h THEN d ELSE 0 END)::BIGINT AS false_alarm FROM sw WHERE d IS NOT NULL AND r + h > 0 GROUP BY ROLLUP (user_id))
+SELECT *, round((miss + false_alarm) / nullif(scored, 0)::DOUBLE, 9) AS error_rate FROM g""")
 def detection_error(spark, sf_dir):
     ref, hyp = segments(spark, sf_dir, 0), segments(spark, sf_dir, 1)
     region = ref.unionByName(hyp).groupBy("user_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return me.detection_error(hyp, ref, region, ["user_id"])
+    out = me.detection_error(hyp, ref, region, ["user_id"])
+    return out.select("user_id", "scored", "miss", "false_alarm", F.round("error_rate", 9).alias("error_rate"))
 
 
 @query(f"""WITH {INTERVALS}, r AS (SELECT user_id, count(DISTINCT channel) AS n FROM iv WHERE event_id % 2 = 0 GROUP BY 1), h AS (SELECT user_id, count(DISTINCT channel) AS n FROM iv WHERE event_id % 2 = 1 GROUP BY 1)
