@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, ranks)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, offs = bpe.column(batch.column("text"), END_ID)
             n = np.diff(offs)
             count = -(-n // capacity)
@@ -106,8 +106,8 @@ def token_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
             cuts = np.concatenate([offs[row] + start, offs[-1:]]) * 4
             data = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
             out = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data.cast(pa.binary())]
-            for at in range(0, len(row), 4096):
-                yield pa.RecordBatch.from_arrays([x.slice(at, 4096) for x in out], ["doc_id", "piece", "start", "length", "ids"])
+            for at in range(0, len(row), 1024):
+                yield pa.RecordBatch.from_arrays([x.slice(at, 1024) for x in out], ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

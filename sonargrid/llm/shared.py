@@ -5,6 +5,7 @@ Nothing here collects rows; the only values that reach the driver are counts and
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,8 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    LIBC = ctypes.CDLL("libc.so.6")
+    LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: large arrays go back to the system when freed
+except (OSError, AttributeError):  # another C library: nothing to tune
+    LIBC = None
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +47,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sonargrid_path = path
     return out
@@ -87,6 +94,33 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     return hot.unionByName(rest)
 
 
+#: Words of 64 bits of a broadcast filter of ids at most.
+FILTER_WORDS = 1 << 20
+
+
+def id_filter(ids: DataFrame, key: str, name: str) -> DataFrame:
+    """(word, bits): a filter with a bit for each id, of at most FILTER_WORDS rows at any size of ids."""
+    slot = f"pmod(xxhash64(`{key}`), {64 * FILTER_WORDS})"
+    return cut(ids.groupBy(F.expr(f"shiftright({slot}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("bits")), name)
+
+
+def maybe_in(df: DataFrame, words: DataFrame, key: str, name: str) -> DataFrame:
+    """df plus a boolean column: false means that the row's key isn't among the filter's ids."""
+    slot = f"pmod(xxhash64(`{key}`), {64 * FILTER_WORDS})"
+    word, bits = clash_free(df, "filter_word", "filter_bits")
+    side = F.broadcast(words.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    hit = df.join(side, F.expr(f"shiftright({slot}, 6)") == F.col(word), "left")
+    return hit.withColumn(name, F.coalesce(F.expr(f"(shiftright(`{bits}`, cast({slot} & 63 as int)) & 1) = 1"), F.lit(False))).drop(word, bits)
+
+
+def without_ids(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key isn't in gone (key). Only rows that the filter holds for possible shuffle; the others pass straight through."""
+    (maybe,) = clash_free(df, "maybe_gone")
+    marked = maybe_in(df, id_filter(gone, key, "gone"), key, maybe)
+    sure = marked.where(~F.col(maybe)).drop(maybe)
+    return sure.unionByName(marked.where(F.col(maybe)).drop(maybe).join(gone.select(key).distinct(), key, "left_anti").select(df.columns))
+
+
 def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, n + 1 offsets) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,6 +138,13 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives through many stages beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if LIBC:
+        LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most limit bytes of the column (one row at least), so that memory is bounded by the longest text."""
     for batch in batches:
@@ -115,9 +156,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = ARROW_BY
             end = max(start + 1, int(np.searchsorted(offs, offs[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+            give_back()
 
 
 def arrow_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by bytes: long texts make smaller batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

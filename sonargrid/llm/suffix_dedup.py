@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .shared import arrow_batches, bytes_of, slices, table
 
 SPAN, GRAM = 100, 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of contexts that one index holds, unless a single anchor has more.
 INDEX_BYTES = 900_000
 PART_BYTES = 32 << 20

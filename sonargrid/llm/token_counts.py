@@ -142,7 +142,7 @@ def counts_after_edits(docs: DataFrame, edits=mask_edits, text: str = "text", do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, ranks)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             texts = batch.column("text").to_pylist()
             todo = [edits(t) if t else [] for t in texts]
             tokens, segments, built = trees(batch.column("text"), bpe, np.array([bool(e) for e in todo], bool))
