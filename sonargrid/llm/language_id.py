@@ -33,12 +33,17 @@ NO_LANGUAGE = "und"
 
 def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
     """Texts by language, bounded by docs and size for each language. Ranks are taken over slim rows; only the chosen texts reach the driver."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id", "text").alias("h"))
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = usable.select("doc_id", "lang", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id", "text").alias("h"))
+    # about four times as many candidates as wanted, by hash, so that no language's rows meet in one task
+    share = rows.groupBy("lang").agg((F.lit(4.0 * docs) / F.count(F.lit(1))).alias("share"))  # one row per language
+    draw = (F.shiftrightunsigned(F.xxhash64("h"), 11).cast("double") + 0.5) / float(1 << 53)
+    rows = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).drop("share")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs)
     first = first.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("sum") <= size) | (F.col("place") == 1))
     chosen = first.groupBy("h").agg(F.first("lang").alias("chosen_lang"))
-    texts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen), "h").select("h", "lang", "text").dropDuplicates(["h", "lang"])
+    texts = usable.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen), "h").select("h", "lang", "text").dropDuplicates(["h", "lang"])
     out: dict[str, list[bytes]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
         out.setdefault(row["lang"], []).append(row["text"].encode())
@@ -170,7 +175,7 @@ def predict(docs: DataFrame, model: Ppm, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
         for whole in batches:
-            for batch in slices([whole], whole.schema.names[place], 8 << 20):
+            for batch in slices([whole], whole.schema.names[place], 4 << 20):
                 texts = batch.column(place)
                 data, offs = bytes_of(texts)
                 lettered = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
