@@ -10,7 +10,7 @@ from sonargrid.llm.language_id import NO_LANGUAGE, learn, predict
 from sonargrid.llm.mixing import emit, mix
 from sonargrid.llm.ngram_join import near_duplicates
 from sonargrid.llm.packing import packed_digests
-from sonargrid.llm.shared import cut, drop_cut
+from sonargrid.llm.shared import cut, drop_cut, without_ids
 
 #: Posterior below which a document's language counts as unknown.
 SURE = 0.5
@@ -31,7 +31,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest doc_id."""
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, gone, "doc_id")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

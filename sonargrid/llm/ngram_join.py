@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_batches, bytes_of, cut, drop_cut, join_groups, slices, table
+from .shared import arrow_batches, bytes_of, cut, drop_cut, id_filter, join_groups, maybe_in, slices, table
 from .suffix_dedup import BASE, roll, scramble
 
 WORDS = 5
@@ -31,9 +31,11 @@ WORDS = 5
 PERCENT = 80
 SCHEMES = 4
 TEXT_BYTES = 4 << 20
-FILTER_WORDS = 1 << 20
+WORD_BYTES = 1 << 18
 #: Pairs of a block that are tested at once.
-BLOCK_PAIRS = 2000
+BLOCK_PAIRS = 1 << 14
+#: Shares of a larger block's pairs that have been tested after each turn.
+SHARES = (0.0, 1 / 256, 1 / 16, 1.0)
 FOUND = "kind int, a long, b long, n long, data binary"
 DOC, EDGE, BUCKET = 0, 1, 2
 
@@ -64,9 +66,9 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):  # so many words at a time that the table of powers stays small
-        to = max(at + 1, int(np.searchsorted(stop, start[at] + (1 << 20), "right")))
+        to = max(at + 1, int(np.searchsorted(stop, start[at] + WORD_BYTES, "right")))
         low = start[at]
-        out[at:to] = roll(max(stop[to - 1] - low, 1 << 20)).spans(LOWER[data[low : stop[to - 1]]], start[at:to] - low, stop[at:to] - low)
+        out[at:to] = roll(max(stop[to - 1] - low, WORD_BYTES)).spans(LOWER[data[low : stop[to - 1]]], start[at:to] - low, stop[at:to] - low)
         at = to
     return out, np.searchsorted(start, offs)
 
@@ -273,23 +275,24 @@ def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cross_pairs(turn: int):
-    """Blocks (block, members with component, size, sketch) to pairs of different components that may link; a row without a pair says that the block has more.
+    """Blocks (block, members with component, size, sketch) to pairs of different components that may link; a row (null, block) says that the block has more.
 
-    A block with up to BLOCK_PAIRS such pairs is tested whole. Of a larger one each turn tests a share that grows fourfold and ends at all, chosen
+    A block with up to BLOCK_PAIRS such pairs is tested whole. Of a larger one each turn tests a share that grows and ends at all, chosen
     by hash: by the next turn most of its classes are in one component.
     """
-    low, high = (4.0 ** (turn - 1) / 1024 if turn else 0.0), min(1.0, 4.0**turn / 1024)
+    low, high = SHARES[turn], SHARES[turn + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, more = set(), False
+            found, more = set(), []
             for block, members in zip(batch.column("block").to_pylist(), batch.column("members").to_pylist(), strict=True):
                 node, component, n = (np.array([m[c] for m in members], np.int64) for c in ("node", "component", "n"))
                 width = min(len(m["sketch"]) for m in members)
                 sketch = np.stack([np.bitwise_xor.reduce(np.frombuffer(m["sketch"], np.uint64).reshape(-1, width // 8), 0) for m in members])
                 _, sizes = np.unique(component, return_counts=True)
                 whole = (len(node) ** 2 - int((sizes.astype(np.int64) ** 2).sum())) // 2 <= BLOCK_PAIRS or high >= 1
-                more |= not whole
+                if not whole:
+                    more.append(block)
                 for i in range(1, len(node)):
                     other = component[:i] != component[i]
                     other &= (5 * n[:i] >= 4 * n[i]) & (5 * n[i] >= 4 * n[:i])
@@ -302,7 +305,7 @@ def cross_pairs(turn: int):
                         far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
                         j = j[far <= (n[j] + n[i]) // 9]
                         found.update((min(int(x), int(node[i])), max(int(x), int(node[i]))) for x in node[j])
-            pairs = [*found, *([(None, None)] if more else [])]
+            pairs = [*found, *((None, block) for block in more)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -336,11 +339,8 @@ def class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, codes) of the classes whose first documents are wanted (doc_id). A Bloom filter of at most FILTER_WORDS words picks the texts; its false hits are harmless: a class twice gives its links twice."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER_WORDS))
-    words = cut(wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {64 * FILTER_WORDS}) & 63 as int))")).alias("bits")), "wanted")
-    hit = docs.join(F.broadcast(words), F.shiftright(slot, 6) == F.col("word"))
-    hit = hit.where(F.expr(f"(shiftright(bits, cast(pmod(xxhash64(doc_id), {64 * FILTER_WORDS}) & 63 as int)) & 1) = 1"))
+    """(node, codes) of the classes whose first documents are wanted (doc_id). A bounded filter picks the texts; its false hits are harmless: a class twice gives its links twice."""
+    hit = maybe_in(docs, id_filter(wanted, "doc_id", "wanted"), "doc_id", "hit").where("hit")
     return cut(hit.select("text").mapInArrow(class_sets, "node long, codes binary"), "sets")
 
 
@@ -404,23 +404,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # all other pairs within blocks, of different components
     block = found.where(f"kind = {BUCKET}").select(F.xxhash64("data").alias("block"), "data").dropDuplicates(["block"])
     member = cut(block.mapInArrow(members, "block long, node long"), "members")
-    for turn in range(6):
-        labelled = member.join(label, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
+    more = None
+    for turn in range(len(SHARES) - 1):
+        labelled = member.select("block", "node").join(label, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
         mixed = labelled.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("block")
+        if more is not None:
+            mixed = mixed.join(more, "block", "left_semi")
         full = cut(labelled.join(mixed, "block"), "mixed")
+        drop_cut(member)
         described_members = full.join(groups.select(F.col("class_id").alias("node"), "n", "sketch"), "node")
         blocks_of = described_members.groupBy("block").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members"))
         crossed = cut(blocks_of.mapInArrow(cross_pairs(turn), "a long, b long").distinct(), "crossed")
-        more = crossed.where("a IS NULL").limit(1).count()
+        more = crossed.where("a IS NULL").select(F.col("b").alias("block"))
         late = crossed.where("a IS NOT NULL")
         if late.limit(1).count():
             links = cut(links.unionByName(link(late, sets_of(late))), "links")
             label = components(links)
-        drop_cut(member)
-        if not more:
+        if not more.limit(1).count():
             break
-        member = cut(full.select("block", "node"), "members")
-        drop_cut(full)
+        member = full
     first = groups.select("class_id", "first_id")
     by_doc = links.join(first.withColumnsRenamed({"class_id": "a", "first_id": "fa"}), "a").join(first.withColumnsRenamed({"class_id": "b", "first_id": "fb"}), "b")
     label = components(by_doc.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
