@@ -6,15 +6,16 @@ that its stretch of the sum crosses. The order is by size class, so the copies a
 and the words taken come near the target.
 
 The prefix sum is distributed: a document's place is its rank inside a (source, size class, salt) bucket plus the rows of all
-buckets before it. A source of n rows has about sqrt(n) / 16 salts, so neither a bucket nor a source's list of buckets is ever large.
+buckets before it. A source of n rows has about sqrt(n) / 16 salts, so neither a bucket nor a source's list of buckets is ever large. All this is
+computed on slim rows; the documents are shuffled once, when they get their copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import clash_free, table
+from .shared import clash_free, cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
@@ -42,6 +43,11 @@ def targets(totals: DataFrame, source: str, share: float = 1.0, max_epochs: int
     return out.drop("cap", "cap_level", "level", "place", "water")
 
 
+def not_null(c: Column) -> Column:
+    """A string that tells all values and null apart."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 7, share: float = 1.0) -> DataFrame:
     """docs, all columns and rows, plus size, source_size, target and copies: how often the mix emits the document (0 to 3).
 
@@ -50,36 +56,43 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     are broken by the text's hash; rows equal in all of these are interchangeable. The same rows give the same copies, however they
     are partitioned. An empty table gives an empty result. Columns of docs that bear a result's name keep it; the result's name gets underscores.
     """
-    size, source_size, target, copies, cls, salt, rank, before, rate = clash_free(docs, "size", "source_size", "target", "copies", "size_class", "salt", "place", "rows_before", "rate")
-    sized = docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
-    slim = sized.select(F.col(source).alias("src"), F.col(size).alias("size"))
+    size, source_size, target, copies, tie, key_src, key_id, turn = clash_free(docs, "size", "source_size", "target", "copies", "tie", "key_src", "key_id", "turn")
+    rows = docs.withColumns({tie: F.md5(F.coalesce(F.col(text), F.lit(""))), key_src: not_null(F.col(source)), key_id: not_null(F.col(doc_id))})
+    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    slim = cut(rows.select(F.col(source).alias("src"), F.col(doc_id).alias("did"), F.col(tie).alias("tie"), words.alias("size")), "sizes")
     plan = targets(slim.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), "src", share)
     plan = plan.select(
-        "src",
-        F.col("source_size").alias(source_size),
-        F.col("target").alias(target),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate),
+        F.col("src").alias("p_src"),
+        "source_size",
+        "target",
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
         F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_docs").cast("double")) / 16)).alias("salts"),
     )
-    id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit("?"))
-    length = F.length(F.bin(F.col(size)))
-    drawn = sized.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("src")))  # one row per source
+    length = F.length(F.bin("size"))
+    drawn = slim.join(F.broadcast(plan), F.col("src").eqNullSafe(F.col("p_src"))).drop("p_src")  # one row per source
     drawn = drawn.withColumns({
-        cls: F.when(length > 4, F.expr(f"shiftright(`{size}`, length(bin(`{size}`)) - 4)") + 8 * (length - 4)).otherwise(F.col(size)),
-        salt: F.pmod(F.conv(F.substring(F.md5(id_text), 1, 8), 16, 10).cast("long"), F.col("salts")),
+        "class": F.when(length > 4, F.expr("shiftright(size, length(bin(size)) - 4)") + 8 * (length - 4)).otherwise(F.col("size")),
+        "salt": F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("did").cast("string"), F.lit("?"))), 1, 8), 16, 10).cast("long"), F.col("salts")),
     })
-    inside = Window.partitionBy("src", cls, salt).orderBy(size, F.col(doc_id).asc_nulls_first(), F.md5(F.coalesce(F.col(text), F.lit(""))) if text in docs.columns else F.lit(0))
-    buckets = drawn.groupBy("src", cls, salt).agg(F.count(F.lit(1)).alias("n"))
-    along = Window.partitionBy("src").orderBy(cls, salt).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(F.col("src").alias("b_src"), F.col(cls).alias("b_cls"), F.col(salt).alias("b_salt"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias(before))
-    placed = drawn.withColumn(rank, F.row_number().over(inside))
-    placed = placed.join(buckets, F.col("src").eqNullSafe(F.col("b_src")) & (F.col(cls) == F.col("b_cls")) & (F.col(salt) == F.col("b_salt")))
-    i, whole = F.col(before) + F.col(rank), F.floor(F.col(rate))
-    part = F.col(rate) - whole
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(source), F.lit("")))), 1, 6), 16, 10).cast("long") / F.lit(float(1 << 24))
+    buckets = drawn.groupBy("src", "class", "salt").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("src").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(F.col("src").alias("b_src"), F.col("class").alias("b_class"), F.col("salt").alias("b_salt"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("src", "class", "salt").orderBy("size", F.col("did").asc_nulls_first(), "tie")
+    placed = drawn.withColumn("rank", F.row_number().over(inside))
+    placed = placed.join(buckets, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("class") == F.col("b_class")) & (F.col("salt") == F.col("b_salt")))
+    i, whole = F.col("before") + F.col("rank"), F.floor("rate")
+    part = F.col("rate") - whole
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("src", F.lit("")))), 1, 6), 16, 10).cast("long") / F.lit(float(1 << 24))
     crossed = F.floor(i * part + offset) - F.floor((i - 1) * part + offset)
-    placed = placed.withColumn(copies, whole + F.least(crossed, F.lit(1)))
-    return placed.select(*docs.columns, size, source_size, target, copies)
+    decided = placed.select("src", "did", "tie", "size", "source_size", "target", (whole + F.least(crossed, F.lit(1))).alias("copies"))
+    # back to the documents: one shuffle of them; rows that repeat a document take its numbers of copies in turn
+    keys = [key_src, key_id, tie]
+    verdict = decided.groupBy(not_null(F.col("src")).alias(key_src), not_null(F.col("did")).alias(key_id), F.col("tie").alias(tie)).agg(
+        F.first("size").alias(size), F.first("source_size").alias(source_size), F.first("target").alias(target), F.sort_array(F.collect_list("copies")).alias("each")
+    )
+    back = rows.join(verdict, keys).withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    back = back.withColumn(copies, F.element_at("each", F.col(turn)))
+    return back.select(*docs.columns, size, source_size, target, copies)
 
 
 def emit(mixed: DataFrame, copies: str = "copies") -> DataFrame:
