@@ -32,6 +32,7 @@ PERCENT = 80
 SCHEMES = 4
 TEXT_BYTES = 4 << 20
 WORD_BYTES = 1 << 18
+PART_BYTES = 32 << 20
 #: Pairs of a block that are tested at once.
 BLOCK_PAIRS = 1 << 14
 #: Shares of a larger block's pairs that have been tested after each turn.
@@ -365,7 +366,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     blocks = rows.mapInArrow(sketch_map(parts), "part int, ids binary, counts binary, keys binary")
     found = cut(blocks.groupBy("part").applyInArrow(meet, FOUND), "met")
     listed = found.where(f"kind = {DOC}").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("class_id"), F.col("data").alias("sketch"))
