@@ -29,6 +29,8 @@ from .suffix_dedup import BASE, roll, scramble
 WORDS = 5
 #: Documents link when PERCENT * union <= 100 * intersection.
 PERCENT = 80
+#: The smallest set that links with a set other than itself: 4 shingles within 5.
+LEAST = 4
 SCHEMES = 4
 TEXT_BYTES = 4 << 20
 WORD_BYTES = 1 << 18
@@ -48,8 +50,8 @@ ODD = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def band_limits(top: int) -> np.ndarray:
-    """First size of each band, up to beyond top. Sizes under 5 link with nothing but themselves."""
-    out = [5]
+    """First size of each band, up to beyond top. LEAST is a band of its own; smaller sizes link with nothing but themselves."""
+    out = [LEAST, 5]
     while out[-1] <= top:
         out.append(5 * out[-1] // 4 + 1)
     return np.array([*out, 5 * out[-1] // 4 + 1, 2 * out[-1]], np.int64)
@@ -132,7 +134,7 @@ def bits_of(code: np.ndarray, offs: np.ndarray) -> list[bytes]:
 
 
 def block_keys(code: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of all blocks that the sets with these rows emit; equal keys make candidates. Sizes are 5 at least."""
+    """(key, row) of all blocks that the sets with these rows emit; equal keys make candidates. Sizes are LEAST at least."""
     size = np.diff(offs)
     limits = band_limits(int(size.max())) if len(size) else band_limits(5)
     band = np.searchsorted(limits, size, "right") - 1
@@ -143,7 +145,7 @@ def block_keys(code: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         blocks = 2 * top // 9 + 2 + top // 64
         partner = np.minimum(top, 5 * size // 4)
         spare = blocks - (size + partner) // 9  # fewer empty blocks than that are safe
-        possible = np.ones(len(size), bool) if not guest else 5 * size // 4 >= limits[k]
+        possible = size > LEAST if not guest else 5 * size // 4 >= limits[k]  # two sets of LEAST link only if they are equal
         todo = np.flatnonzero(possible)
         for scheme in range(SCHEMES):
             if not len(todo):
@@ -190,7 +192,7 @@ def sketch_map(parts: int):
             once = np.zeros(len(ids), bool)
             once[first] = True
             sketch = np.full(len(ids), None, object)
-            large = np.flatnonzero(once & (size >= WORDS))
+            large = np.flatnonzero(once & (size >= LEAST))
             part_code, part_edge = take(code, edge, large)
             sketch[large] = bits_of(part_code, part_edge)
             docs = rows_batch(DOC, batch.column("doc_id"), ids, size, list(sketch))

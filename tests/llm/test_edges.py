@@ -128,6 +128,27 @@ def test_linked_sets_share_a_block():
     assert tried > 1000
 
 
+def test_small_sets_against_brute_force(spark):
+    base = "one two three four five six seven eight"
+    rng = random.Random(6)
+    texts = [base, base + " nine", "zero " + base, base + " nine ten", "a b c d e f g", "a b c d e f g h"]
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(5, 12))]
+        texts += [" ".join(words), " ".join(["x", *words]), " ".join([*words, "y"])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    expected = list(range(len(texts)))
+    for _ in texts:  # least number reachable by links
+        for i, a in enumerate(sets):
+            expected[i] = min(expected[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b))
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert expected[1] == expected[2] == expected[0] == 0 and expected[5] == 5 and out == dict(enumerate(expected))
+    for _ in range(300):
+        a = rng.sample(range(1 << 62), 5)
+        code = np.concatenate([np.sort(ngram_join.scramble(np.array(x, np.uint64))) for x in (a, a[:4])])
+        keys, row = ngram_join.block_keys(code, np.array([0, 5, 9]))
+        assert len(np.intersect1d(keys[row == 0], keys[row == 1]))
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(2)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]
