@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,6 @@ from .shared import arrow_batches, cut, drop_cut, table
 MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 #: Lines such as "On Monday, A wrote:" that introduce a quote; one right before a quote goes with it.
 INTRODUCTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
-#: Passages of fewer characters, normalised, say too little to be linked.
-LEAST = 8
 
 
 def normalised(text: str) -> str:
@@ -50,9 +48,9 @@ def levels(text: str) -> list[tuple[int, str]]:
 
 
 def units(passage: str) -> list[str]:
-    """What of a passage can be quoted: all of it, its paragraphs, its lines; normalised, LEAST characters at least."""
+    """What of a passage can be quoted: all of it, its paragraphs, its lines; normalised, none of them empty."""
     parts = [passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")]
-    return [x for x in dict.fromkeys(map(normalised, parts)) if len(x) >= LEAST]
+    return [x for x in dict.fromkeys(map(normalised, parts)) if x]
 
 
 def parse(text: str) -> tuple[str, list[int], list[tuple[int, int, int]]]:
@@ -97,10 +95,13 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     """
     rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = cut(parsed(rows, "text").drop("text"), "messages")
-    offered = rows.select("conv_id", F.col("turn").alias("source"), F.explode("offered").alias("hash"))
-    # only hashes that are quoted somewhere in the conversation, and each source once
-    quoted = rows.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*").distinct()
-    found = quoted.join(offered.distinct(), ["conv_id", "hash"]).where("source < turn")
+    placed = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    offered = placed.select("conv_id", "turn", F.explode("offered").alias("hash"), F.col("turn").alias("source"))
+    quoted = placed.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*").distinct()
+    # the latest earlier offer as a running maximum, not a join: short passages are offered and quoted by many messages. A turn's quotes come before its offers
+    both = quoted.unionByName(offered.distinct(), allowMissingColumns=True)
+    before = Window.partitionBy("conv_id", "hash").orderBy("turn", F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("source", F.max("source").over(before)).where("number IS NOT NULL AND source IS NOT NULL")
     latest = found.groupBy("conv_id", "turn", "level", "number").agg(F.max("source").alias("source"))
     link = latest.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("source")).alias("back"))).alias("best"), F.count(F.lit(1)).alias("n_linked"))
     link = cut(link.select("conv_id", "turn", (-F.col("best.back")).alias("reply_to"), "n_linked"), "links")

@@ -393,3 +393,11 @@ def test_quotes(spark):
     assert quotes.link_quotes(spark.createDataFrame([], schema)).count() == 0
     deep = [(1, 0, "u", "message number 0 here", "m")] + [(1, i, "u", f"> message number {i - 1} here\nmessage number {i} here", "m") for i in range(1, 12)]
     assert {r["turn"]: r["depth"] for r in quotes.link_quotes(spark.createDataFrame(deep, schema)).collect()} == {i: i for i in range(12)}
+
+
+def test_short_quotes(spark):
+    texts = ["Sure.", "> Sure.\nWhy?", "> Why?\nYes, ok", "> Yes, ok\n好的", "> 好的\nSure.", "> sure.\nbye", "> bye\n> never said", ">\nSure.", "> Sure.\nend"]
+    rows = [(1, i, "u", t) for i, t in enumerate(texts)] + [(2, 0, "u", "> Sure.\nSure.")]
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [out[1, i]["reply_to"] for i in range(9)] == [None, 0, 1, 2, 3, 4, 5, None, 7] and out[2, 0]["reply_to"] is None
+    assert out[1, 4]["depth"] == 4 and out[1, 7]["n_quotes"] == 0 and out[2, 0]["n_quotes"] == 1
