@@ -57,8 +57,8 @@ def band_limits(top: int) -> np.ndarray:
     return np.array([*out, 5 * out[-1] // 4 + 1, 2 * out[-1]], np.int64)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, n + 1 offsets by text) of lower-cased words."""
+def word_hashes(data: np.ndarray, offs: np.ndarray, letters: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, n + 1 offsets by text) of words, lower-cased unless letters maps bytes otherwise."""
     ink = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
@@ -71,7 +71,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     while at < len(start):  # so many words at a time that the table of powers stays small
         to = max(at + 1, int(np.searchsorted(stop, start[at] + WORD_BYTES, "right")))
         low = start[at]
-        out[at:to] = roll(max(stop[to - 1] - low, WORD_BYTES)).spans(LOWER[data[low : stop[to - 1]]], start[at:to] - low, stop[at:to] - low)
+        out[at:to] = roll(max(stop[to - 1] - low, WORD_BYTES)).spans(letters[data[low : stop[to - 1]]], start[at:to] - low, stop[at:to] - low)
         at = to
     return out, np.searchsorted(start, offs)
 

@@ -401,3 +401,26 @@ def test_short_quotes(spark):
     out = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [out[1, i]["reply_to"] for i in range(9)] == [None, 0, 1, 2, 3, 4, 5, None, 7] and out[2, 0]["reply_to"] is None
     assert out[1, 4]["depth"] == 4 and out[1, 7]["n_quotes"] == 0 and out[2, 0]["n_quotes"] == 1
+
+
+def test_pages_of_a_large_host_against_a_suffix_array(spark):
+    rng = random.Random(12)
+    word = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    notices = [word(rng.randint(7, 14)) for _ in range(30)]
+    parts = [[word(rng.randint(1, 12)) for _ in range(rng.randint(0, 4))] for _ in range(700)]
+    for i, notice in enumerate(notices):
+        for p in rng.sample(range(700), 2 if i else 1):
+            parts[p].insert(rng.randint(0, len(parts[p])), word(2) + " " + notice + " " + word(1))
+    html = ["".join(f"<{'nav' if (i + j) % 9 == 0 else 'p'}>{t}</{'nav' if (i + j) % 9 == 0 else 'p'}>" for j, t in enumerate(p)) for i, p in enumerate(parts)]
+    html += ["<article>" + notices[0] + "</article>", "<p>" + notices[1] + "</p>"]
+    rows = [(i, "http://big/" + str(i), h, "") for i, h in enumerate(html)] + [(900, "http://small/", f"<p>{notices[2]}</p>", ""), (901, "http://small/x", "<p>" + "a b c d e f g h i " * 2 + "</p>", ""), (901, "http://small/x", "<p>" + "a b c d e f g h i " * 2 + "</p>", "")]
+    pages = [html_extract.blocks(h) for h in html]
+    expected, cut_pages = {}, 0
+    for i, (page, cover) in enumerate(zip(pages, html_extract.covered(pages), strict=True)):
+        main = any(k == html_extract.MAIN_TEXT for k, _ in page)
+        texts = [t if main else " ".join(w for w, g in zip(t.split(" "), c.tolist(), strict=True) if not g) for (k, t), c in zip(page, cover, strict=True) if k == (html_extract.MAIN_TEXT if main else html_extract.OTHER_TEXT)]
+        expected[i] = "\n".join(t for t in texts if t)
+        cut_pages += any(c.any() for c in cover)
+    expected |= {900: notices[2], 901: ("a b c d e f g h i " * 2).strip()}
+    out = html_extract.extract(spark.createDataFrame(rows, PAGES).repartition(5)).collect()
+    assert len(out) == len(rows) and cut_pages > 30 and {r["page_id"]: r["text"] for r in out} == expected
