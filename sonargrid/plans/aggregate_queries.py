@@ -9,7 +9,7 @@ from ..operators import sampling as sa
 from ..operators import vectors as ve
 from .interval_queries import merged_sql
 from .registration import Registry
-from .views import HOUR, INTERVALS, TURNS, segments, table, turns
+from .views import HOUR, INTERVALS, TURN_WORDS, TURNS, segments, table, turns
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -63,25 +63,25 @@ UNION ALL SELECT pair, r, h, CASE WHEN len(cur) = len(h) + 1 THEN i + 1 ELSE i E
 CASE WHEN i = 0 AND len(cur) < len(h) + 1 THEN above WHEN len(cur) = len(h) + 1 THEN [i + 1]::BIGINT[] ELSE list_append(cur, least(cur[-1] + 1, above[len(cur) + 1] + 1, above[len(cur)] + CASE WHEN r[i] = h[len(cur)] THEN 0 ELSE 1 END)) END FROM c WHERE i < len(r) OR len(cur) < len(h) + 1)
 SELECT pair, len(r)::INT AS n_ref, cur[-1]::INT AS n_err, round(CASE WHEN len(r) > 0 THEN cur[-1] / len(r)::DOUBLE WHEN cur[-1] > 0 THEN 'inf'::DOUBLE ELSE 0 END, 9) AS rate FROM c WHERE i = len(r) AND len(cur) = len(h) + 1""")
 def word_error_counts(spark, sf_dir):
-    return me.error_counts(turns(spark, sf_dir), "reference", "hypothesis").select("pair", "n_ref", "n_err", F.round("rate", 9).alias("rate"))
+    return me.error_counts(turns(spark, sf_dir, TURN_WORDS), "reference", "hypothesis").select("pair", "n_ref", "n_err", F.round("rate", 9).alias("rate"))
 
 
 @query(f"""WITH {TURNS} SELECT pair, length(reference) AS n_ref, levenshtein(reference, hypothesis) AS n_err, round(CASE WHEN length(reference) > 0 THEN levenshtein(reference, hypothesis) / length(reference)::DOUBLE WHEN length(hypothesis) > 0 THEN 'inf'::DOUBLE ELSE 0 END, 9) AS rate FROM tp""")
 def character_error_counts(spark, sf_dir):
-    return me.error_counts(turns(spark, sf_dir), "reference", "hypothesis", by_character=True).select("pair", F.col("n_ref").cast("long").alias("n_ref"), F.col("n_err").cast("long").alias("n_err"), F.round("rate", 9).alias("rate"))
+    return me.error_counts(turns(spark, sf_dir, TURN_WORDS), "reference", "hypothesis", by_character=True).select("pair", F.col("n_ref").cast("long").alias("n_ref"), F.col("n_err").cast("long").alias("n_err"), F.round("rate", 9).alias("rate"))
 
 
 @query()
 def session_cpwer(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role <> 'system'")
-    cut = lambda parity: c.where(F.col("turn") % 4 == parity).groupBy("conv_id", F.col("role").alias("speaker")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.array_join(F.slice(F.split("text", r"\s+"), 1, 20), " ").alias("t")))), lambda x: x["t"]), " ").alias("text"))
-    return me.cpwer(cut(0), cut(1), "conv_id")
+    side = lambda parity: c.where(F.col("turn") % 2 == parity).groupBy("conv_id", F.col("role").alias("speaker")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    return me.cpwer(side(0), side(1), "conv_id")
 
 
 @query(f"""WITH {TURNS}, g AS (SELECT pair, unnest(list_filter(string_split(reference, ' '), lambda x: x <> '')) AS w, 1 AS k FROM tp UNION ALL SELECT pair, unnest(list_filter(string_split(hypothesis, ' '), lambda x: x <> '')), 0 FROM tp),
 c AS (SELECT pair, w, sum(k) AS r, sum(1 - k) AS h FROM g GROUP BY 1, 2) SELECT pair, 1 AS n, sum(least(r, h))::BIGINT AS matches, sum(h)::BIGINT AS total FROM c WHERE h > 0 GROUP BY 1""")
 def unigram_matches(spark, sf_dir):
-    return me.ngram_matches(turns(spark, sf_dir), "pair", "reference", "hypothesis", 1)
+    return me.ngram_matches(turns(spark, sf_dir, TURN_WORDS), "pair", "reference", "hypothesis", 1)
 
 
 @query()
