@@ -258,7 +258,7 @@ def sampled_sources(spark, sf_dir):
 
 @query()
 def simulated_sessions(spark, sf_dir):
-    utt = table(spark, sf_dir, "events").select(F.col("event_type").alias("speaker"), F.col("event_id").alias("utterance"), (F.col("value") / 10 + 1).alias("duration")).where("utterance < 2000")
+    utt = table(spark, sf_dir, "events").select(F.col("event_type").alias("speaker"), F.col("event_id").alias("utterance"), (F.col("value") / 10 + 1).alias("duration"))
     return sim.sessions(utt, 4, 2, 120.0)
 
 

@@ -27,3 +27,10 @@ def test_metrics_read_whole_turns(spark, talk):
     assert [(r["len_ref"], r["len_hyp"]) for r in registry.QUERIES["corpus_bleu"](spark, talk).collect()] == [(62, 62)]
     words = {r["word"]: (r["tp"], r["fp"], r["fn"]) for r in registry.QUERIES["keyword_scores"](spark, talk).collect()}
     assert words["the"] == (0, 0, 2) and words["la"] == (0, 2, 0)
+
+
+def test_simulated_sessions_draw_from_all_events(spark, tmp_path):
+    rows = [(i, f"type{i % 3}", 10.0) for i in range(5000, 5300)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = registry.QUERIES["simulated_sessions"](spark, str(tmp_path)).collect()
+    assert {r["session"] for r in out} == {0, 1, 2, 3} and {r["utterance"] for r in out} <= {r[0] for r in rows}
