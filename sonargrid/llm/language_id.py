@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .shared import arrow_batches, bytes_of, slices, table
 
 ORDER = 4
-#: Training sample: of each language the labelled documents that come first by hash, whole, within both bounds.
+#: Training sample: of each language the labelled documents that come first by hash, whole, within both bounds; those that do not fit are skipped.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 600_000
 #: states x byte classes x languages of the cost table at most; rare contexts are left out to keep it.
 CELLS = 6_000_000
@@ -41,8 +41,16 @@ def training_sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SA
     rows = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).drop("share")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs)
-    first = first.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("sum") <= size) | (F.col("place") == 1))
-    chosen = first.groupBy("h").agg(F.first("lang").alias("chosen_lang"))
+    # a text that does not fit is skipped, not all that come after it; if none fits, the first is taken. A language has docs rows here at most
+    ranked = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "h", "bytes"))).alias("ranked"))
+
+    def fit(acc: Column, x: Column) -> Column:
+        total = acc["total"] + x["bytes"]
+        return F.when(total <= size, F.struct(total.alias("total"), F.concat(acc["kept"], F.array(x["h"])).alias("kept"))).otherwise(acc)
+
+    none = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("kept"))
+    kept = F.aggregate("ranked", none, fit, lambda acc: F.when(F.size(acc["kept"]) > 0, acc["kept"]).otherwise(F.array(F.col("ranked")[0]["h"])))
+    chosen = ranked.select(F.explode(kept).alias("h")).distinct()
     texts = usable.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen), "h").select("h", "lang", "text").dropDuplicates(["h", "lang"])
     out: dict[str, list[bytes]] = {}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):

@@ -424,3 +424,12 @@ def test_pages_of_a_large_host_against_a_suffix_array(spark):
     expected |= {900: notices[2], 901: ("a b c d e f g h i " * 2).strip()}
     out = html_extract.extract(spark.createDataFrame(rows, PAGES).repartition(5)).collect()
     assert len(out) == len(rows) and cut_pages > 30 and {r["page_id"]: r["text"] for r in out} == expected
+
+
+def test_training_sample_skips_what_does_not_fit(spark):
+    rows = [(i, f"text number {i} " * 4, "en") for i in range(40)] + [(100 + i, "long words " * 300, "en") for i in range(10)] + [(200, "only one " * 900, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.training_sample(docs, 300, 3000)
+    assert len(out["en"]) == 40 and sum(map(len, out["en"])) <= 3000 and len(out["fr"]) == 1
+    assert {t.decode() for t in out["en"]} == {r[1] for r in rows[:40]}
+    assert {k: len(v) for k, v in language_id.training_sample(docs).items()} == {"en": 50, "fr": 1}
