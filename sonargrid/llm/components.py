@@ -52,7 +52,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = cut(links.select("a", "b"), "links")
     if links.count() <= LOCAL_LINKS:
-        return cut(links.coalesce(1).mapInArrow(solve, "node long, component long"), "components")
+        found = cut(links.coalesce(1).mapInArrow(solve, "node long, component long"), "components")
+        drop_cut(links)
+        return found
     forest = links.mapInArrow(solve, "node long, component long").where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     edges = cut(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     drop_cut(links)
@@ -66,4 +68,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped
         if not labels.where(F.col("old") != F.col("component")).limit(1).count():
             drop_cut(edges)
-            return labels.select("node", "component")
+            found = cut(labels.select("node", "component"), "components")
+            drop_cut(labels)
+            return found

@@ -8,9 +8,10 @@ meet in the task of a block's XOR). A few blocks more than needed make up for em
 empty ones emits further sketches with other hashes, the last with its empty blocks.
 
 Documents with equal sets are one class. Classes that meet are candidates with the least class of the block; candidates are thinned by the Hamming
-distance of bit sketches of about 2 bits a shingle, a lower bound too, and verified on the shingle hashes. Other pairs of a block are tested only
-if its classes are not in one component yet, so a group of copies costs links in proportion to its size, and no link between different
-components is missed.
+distance of bit sketches of about 2 bits a shingle, a lower bound too, and verified on the 64-bit hashes of all shingles, made anew from the texts, which
+are moved compressed. Other pairs of a block are tested only if its classes are not in one component yet, so a group of copies costs links in
+proportion to its size, and no link between different components is missed. The members of a large block are dealt to chunks of about CHUNK, and
+each two chunks are compared in a group of their own, so no task holds a whole block.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_batches, bytes_of, cut, drop_cut, id_filter, join_groups, maybe_in, slices, table
+from .shared import arrow_batches, bytes_of, cut, drop_cut, give_back, id_filter, join_groups, maybe_in, slices, table
 from .suffix_dedup import BASE, roll, scramble
 
 WORDS = 5
@@ -35,10 +36,16 @@ SCHEMES = 4
 TEXT_BYTES = 4 << 20
 WORD_BYTES = 1 << 18
 PART_BYTES = 32 << 20
-#: Pairs of a block that are tested at once.
-BLOCK_PAIRS = 1 << 14
-#: Shares of a larger block's pairs that have been tested after each turn.
-SHARES = (0.0, 1 / 256, 1 / 16, 1.0)
+#: Members of a block that are compared in one group, about.
+CHUNK = 512
+#: Bytes to which the sketches of a block's members are folded by XOR (which never raises a distance): members of many blocks move one for each.
+FOLDED = 128
+#: Members of a block whose pairs are all tested at once.
+FEW = 8
+#: Turns in which larger blocks name closest pairs only, before all that is still apart is tested.
+CLOSEST_TURNS = 2
+#: Pairs that share one copy of their first text.
+FAN = 256
 FOUND = "kind int, a long, b long, n long, data binary"
 DOC, EDGE, BUCKET = 0, 1, 2
 
@@ -46,6 +53,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+CODEC = pa.Codec("zstd")
 ODD = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -153,7 +161,7 @@ def block_keys(code: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
             part, edge = (code, offs) if len(todo) == len(size) else take(code, offs, todo)
             owner = np.repeat(np.arange(len(todo)), np.diff(edge))
             if scheme:
-                part = scramble(part + np.uint64(scheme) * np.uint64(BASE))
+                part = scramble(part + np.uint64(scheme * BASE & (1 << 64) - 1))
                 part = part[np.lexsort((part, owner))]
             block = ((part >> np.uint64(32)) * blocks[todo][owner].astype(np.uint64)) >> np.uint64(32)
             head = np.ones(len(part), bool)
@@ -180,7 +188,7 @@ def rows_batch(kind: int, a, b, n, data) -> pa.RecordBatch:
 
 
 def sketch_map(parts: int):
-    """Texts to packed rows by part: block keys (6 bytes each) by class, and the documents themselves (part -1 - x stands for rows of kind DOC)."""
+    """Texts to packed rows by part: block keys (4 bytes each; the part tells the rest) by class, and the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", TEXT_BYTES):
@@ -202,18 +210,22 @@ def sketch_map(parts: int):
             home = int(np.uint64(ids[0] & ((1 << 62) - 1)) % np.uint64(parts)) if len(ids) else 0
             out: dict[str, list] = {"part": [home], "ids": [b""], "counts": [b""], "keys": [sink.getvalue().to_pybytes()]}
             keys, rows = block_keys(part_code, part_edge)
-            part = (keys >> np.uint64(48)).astype(np.int64) * parts >> 16
+            part = (keys >> np.uint64(32)).astype(np.int64) * parts >> 32
             order = np.lexsort((rows, part))
             keys, rows, part = keys[order], rows[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            six = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+            low = keys.astype(np.uint32)
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = rows[cuts[p] : cuts[p + 1]]
                 head = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+                size = np.diff(np.append(head, len(mine)))
+                times = -(-size // 255)  # entries of a class: a count is one byte
+                counts = np.full(int(times.sum()), 255, np.uint8)
+                counts[np.cumsum(times) - 1] = size - 255 * (times - 1)
                 out["part"].append(p)
-                out["ids"].append(ids[large[mine[head]]].tobytes())
-                out["counts"].append(np.diff(np.append(head, len(mine))).astype(np.uint32).tobytes())
-                out["keys"].append(six[cuts[p] : cuts[p + 1]].tobytes())
+                out["ids"].append(np.repeat(ids[large[mine[head]]], times).tobytes())
+                out["counts"].append(counts.tobytes())
+                out["keys"].append(low[cuts[p] : cuts[p + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("ids", "counts", "keys"))], list(out))
 
     return run
@@ -226,10 +238,8 @@ def meet(rows: pa.Table) -> pa.Table:
         if not i:
             out += pa.ipc.open_stream(k).read_all().to_batches()
             continue
-        wide = np.zeros((len(k) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
-        keys.append(wide.view(np.uint64).reshape(-1))
-        ids.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)))
+        keys.append(np.frombuffer(k, np.uint32))
+        ids.append(np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint8)))
     if ids:
         key, node = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(key)
@@ -257,6 +267,13 @@ def meet(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
 
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes (class_id, first_id, rows, n, sketch) plus short, the sketch folded."""
+    for batch in batches:
+        short = [x and np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, min(len(x), FOLDED)), 0).tobytes() for x in batch.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], [*batch.schema.names, "short"])
+
+
 def hamming(x: bytes, y: bytes) -> int:
     """Distance of two sketches at the width of the narrower; the wider is folded by XOR."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -277,87 +294,159 @@ def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "n"]).filter(kept)
 
 
-def cross_pairs(turn: int):
-    """Blocks (block, members with component, size, sketch) to pairs of different components that may link; a row (null, block) says that the block has more.
+def cross_pairs(whole: bool):
+    """Two chunks of a block (low, high, members with chunk, component, size, sketch) to the pairs of different components that may link.
 
-    A block with up to BLOCK_PAIRS such pairs is tested whole. Of a larger one each turn tests a share that grows and ends at all, chosen
-    by hash: by the next turn most of its classes are in one component.
+    Not whole: of more than FEW members each only names the closest one of another component, so a group costs pairs in proportion to its size;
+    whole: what is still apart is tested against all.
     """
-    low, high = SHARES[turn], SHARES[turn + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, more = set(), []
-            for block, members in zip(batch.column("block").to_pylist(), batch.column("members").to_pylist(), strict=True):
-                node, component, n = (np.array([m[c] for m in members], np.int64) for c in ("node", "component", "n"))
+            found = set()
+            for low, high, members in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "members")), strict=True):
+                chunk, node, component, n = (np.array([m[c] for m in members], np.int64) for c in ("chunk", "node", "component", "n"))
                 width = min(len(m["sketch"]) for m in members)
                 sketch = np.stack([np.bitwise_xor.reduce(np.frombuffer(m["sketch"], np.uint64).reshape(-1, width // 8), 0) for m in members])
-                _, sizes = np.unique(component, return_counts=True)
-                whole = (len(node) ** 2 - int((sizes.astype(np.int64) ** 2).sum())) // 2 <= BLOCK_PAIRS or high >= 1
-                if not whole:
-                    more.append(block)
-                for i in range(1, len(node)):
-                    other = component[:i] != component[i]
-                    other &= (5 * n[:i] >= 4 * n[i]) & (5 * n[i] >= 4 * n[:i])
-                    if not whole or low:
-                        a, b = np.minimum(node[:i], node[i]).astype(np.uint64), np.maximum(node[:i], node[i]).astype(np.uint64)
-                        draw = (scramble(a * np.uint64(BASE) + scramble(b + np.uint64(block & ((1 << 63) - 1)))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-                        other &= (draw < high if not whole else True) & (draw >= low)
+                every = whole or len(node) <= FEW
+                for i in range(len(node)):
+                    other = component != component[i]
+                    other &= (5 * n >= 4 * n[i]) & (5 * n[i] >= 4 * n)
+                    if low != high:
+                        other &= chunk != chunk[i]
+                    if every:
+                        other[i:] = False
                     j = np.flatnonzero(other)
                     if len(j):
                         far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
-                        j = j[far <= (n[j] + n[i]) // 9]
+                        near = far <= (n[j] + n[i]) // 9
+                        j = j[near] if every else j[near][np.argsort(far[near], kind="stable")[:1]]
                         found.update((min(int(x), int(node[i])), max(int(x), int(node[i]))) for x in node[j])
-            pairs = [*found, *((None, block) for block in more)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def tiles(member: DataFrame, whole: bool, chunk: int) -> DataFrame:
+    """(block, low, high, chunk, node, component, more) of members (block, node, component) of blocks with several components.
+
+    A component of more than chunk members in the block has chunks of its own, by hash of the node; the others share chunks by hash of the
+    component. Two chunks meet as (low, high) unless both are of one component; not whole: each chunk of small components meets itself and one chunk
+    of each large component, and large components meet with one chunk each, which joins most of what belongs together. more: the block may have
+    pairs that are not tested.
+    """
+    per = member.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
+    large = F.col("n") > chunk
+    block = per.groupBy("block").agg(
+        F.count(F.lit(1)).alias("kinds"),
+        F.sum("n").alias("size"),
+        F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / chunk).cast("int").alias("small"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("component", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))))).alias("large"),
+    )
+    kind = "struct<component: bigint, sub: int, parts: int>"
+    of_small = F.expr(f"transform(filter(sequence(0, small), i -> i < small), i -> cast(struct(null, i, small) as {kind}))")
+    of_large = F.expr(f"flatten(transform(large, x -> transform(sequence(0, x.parts - 1), i -> cast(struct(x.component, i, x.parts) as {kind}))))")
+    block = block.where("kinds > 1").select("block", "size", "small", F.concat(of_small, of_large).alias("chunks"))
+    dealt = join_groups(member, block, "block", "size", member.count())
+    home = F.expr("get(filter(chunks, x -> x.component = component), 0).parts")
+    dealt = dealt.withColumn("parts", home).withColumn("sub", F.pmod(F.when(F.col("parts").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("node")), F.coalesce("parts", "small")).cast("int"))
+    dealt = dealt.withColumn("chunk", F.expr("array_position(transform(chunks, x -> x.sub = sub and x.component <=> if(parts is null, null, component)), true) - 1").cast("int"))
+    if whole:
+        meets = "x.component is null or parts is null or x.component <> component"
+    else:
+        meets = "case when parts is null and x.component is null then x.sub = sub when parts is null then x.sub = pmod(sub, x.parts) when x.component is null then pmod(x.sub, parts) = sub else x.sub = 0 and sub = 0 and x.component <> component end"
+    partner = F.expr(f"filter(transform(chunks, (x, i) -> if({meets}, i, -1)), i -> i >= 0)")
+    dealt = dealt.withColumn("more", F.col("size") > min(FEW, chunk)).withColumn("partner", F.explode(partner))
+    return dealt.select("block", F.least("chunk", "partner").alias("low"), F.greatest("chunk", "partner").alias("high"), "chunk", "node", "component", "more")
+
+
+def packed_text(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + CODEC.compress(text, asbytes=True)
+
+
+def raw_size(x: bytes) -> int:
+    return int.from_bytes(x[:8], "little")
+
+
+def common(texts: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that the texts a and b have in common, shingles of either set) for each pair."""
+    offs = np.append(0, np.cumsum([len(t) for t in texts]))
+    code, edge = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offs)
+    _, dense = np.unique(code, return_inverse=True)
+    sides, n = [], len(a)
+    for rows in (a, b):
+        mine, cuts = take(dense.reshape(-1).astype(np.uint64), edge, rows)
+        sides.append((np.repeat(np.arange(n, dtype=np.uint64), np.diff(cuts)) << np.uint64(32)) | mine)
+    merged = np.sort(np.concatenate(sides))
+    both = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n)
+    size = np.diff(edge)
+    return both, size[a] + size[b] - both
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both sets (5 bytes a shingle hash) to those that link."""
-    for batch in slices(batches, "seta", 2 << 20):
-        n = batch.num_rows
-        codes, sizes = [], []
-        for c in ("seta", "setb"):
-            data, offs = bytes_of(batch.column(c))
-            size = np.diff(offs) // 5
-            wide = np.zeros((int(size.sum()), 8), np.uint8)
-            wide[:, :5] = data.reshape(-1, 5)
-            codes.append((np.repeat(np.arange(n, dtype=np.uint64), size) << np.uint64(40)) | wide.view(np.uint64).reshape(-1))
-            sizes.append(size)
-        merged = np.sort(np.concatenate(codes))
-        both = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> np.uint64(40)).astype(np.int64), minlength=n)
-        linked = 100 * both >= PERCENT * (sizes[0] + sizes[1] - both)
-        yield batch.select(["a", "b"]).filter(pa.array(linked))
-
-
-def class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (class, shingle hashes of 5 bytes, packed)."""
+    """Rows (a, salt, b, packed) in order of a and salt, the row of a itself (b null) first, to the pairs (a, b) that link. Only so much text is unpacked at once."""
+    head: bytes | None = None
+    for batch in batches:
+        pairs: list[tuple[int, int, bytes, bytes]] = []
+        out: list[tuple[int, int]] = []
+        size = 0
+
+        def flush() -> None:
+            known: dict[bytes, int] = {}
+            for *_, x, y in pairs:
+                known.setdefault(x, len(known))
+                known.setdefault(y, len(known))
+            texts = [CODEC.decompress(x[8:], raw_size(x), asbytes=True) if raw_size(x) else b"" for x in known]
+            both, either = common(texts, np.array([known[p[2]] for p in pairs]), np.array([known[p[3]] for p in pairs]))
+            out.extend(p[:2] for p, linked in zip(pairs, (100 * both >= PERCENT * either).tolist(), strict=True) if linked)
+            pairs.clear()
+
+        for a, b, x in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed")), strict=True):
+            if b is None:
+                head = x
+                continue
+            if pairs and size + raw_size(x) > TEXT_BYTES:
+                flush()
+                size = 0
+            pairs.append((a, b, head, x))
+            size += raw_size(x)
+        if pairs:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        give_back()
+
+
+def class_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (class, packed text)."""
     for batch in slices(batches, "text", TEXT_BYTES):
-        code, edge = shingle_sets(*bytes_of(batch.column("text")))
-        short = (code >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-        sets = [short[5 * a : 5 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(classes(code, edge)), pa.array(sets, pa.binary())], ["node", "codes"])
-
+        data, offs = bytes_of(batch.column("text"))
+        ids = classes(*shingle_sets(data, offs))
+        packed = [packed_text(data[a:b].tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(packed, pa.binary())], ["node", "packed"])
+
+
+def fetch_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, packed) of the classes whose first documents are wanted (doc_id). A bounded filter picks the texts; its false hits are harmless."""
+    filtered = id_filter(wanted, "doc_id", "wanted")
+    hit = maybe_in(docs, filtered, "doc_id", "hit").where("hit")
+    out = cut(hit.select("text").mapInArrow(class_texts, "node long, packed binary"), "texts")
+    drop_cut(filtered)
+    return out
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, codes) of the classes whose first documents are wanted (doc_id). A bounded filter picks the texts; its false hits are harmless: a class twice gives its links twice."""
-    hit = maybe_in(docs, id_filter(wanted, "doc_id", "wanted"), "doc_id", "hit").where("hit")
-    return cut(hit.select("text").mapInArrow(class_sets, "node long, codes binary"), "sets")
 
+def link(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. Each text moves to the groups of pairs that need it: a class that is first in very many pairs has a group for each FAN of them.
 
-def link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. The first class of a pair may be in very many: its pairs are salted by their number, its set is sent once per salt."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("salts"))
-    left = sets.withColumnsRenamed({"node": "a", "codes": "seta"}).join(counts, "a")
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    right = salted.join(sets.withColumnsRenamed({"node": "b", "codes": "setb"}), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", "seta", "setb").mapInArrow(verify, "a long, b long")
+    Rows that repeat a class (a false hit of the filter) are compared twice, which does no harm.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("salts"))
+    first = counts.select(F.col("a").alias("node"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    other = pairs.join(counts, "a").select(F.col("b").alias("node"), "a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    rows = texts.join(first.unionByName(other), "node").select("a", "salt", "b", "packed")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of docs.
 
     component_id is the smallest doc_id reachable by links, the row's own included; class_id names the set of shingles (equal for equal sets). Texts
@@ -374,7 +463,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = cut(blocks.groupBy("part").applyInArrow(meet, FOUND), "met")
     listed = found.where(f"kind = {DOC}").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("class_id"), F.col("data").alias("sketch"))
     groups = listed.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
-    groups = cut(groups, "classes")
+    groups = cut(groups.mapInArrow(folded, "class_id long, first_id long, rows long, n long, sketch binary, short binary"), "classes")
 
     def described(pairs: DataFrame) -> DataFrame:
         a = groups.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -384,52 +473,58 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     edges = found.where(f"kind = {EDGE}").groupBy("a", "b").agg(F.sum("n").alias("n"))
     edges = cut(described(edges).select("a", "b", "n", "na", "nb", "sa", "sb").mapInArrow(thin, "a long, b long, n long"), "candidates")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def texts_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-        return fetch_sets(rows, nodes.join(groups, "class_id").select(F.col("first_id").alias("doc_id")))
-
-    def ends_of(label: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        return fetch_texts(rows, nodes.join(groups, "class_id").select(F.col("first_id").alias("doc_id")))
 
     def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs whose ends are not in one component yet."""
-        a, b = ends_of(label)
+        a, b = (label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
         return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
+    def joined(links: DataFrame | None, label: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links and their components; what they replace is deleted."""
+        new = cut(more if links is None else links.unionByName(more), "links")
+        found = components(new)
+        for old in (links, label):
+            if old is not None:
+                drop_cut(old)
+        return new, found
+
     # the candidate that shares most blocks with a class, then the other candidates of different components
-    sets = sets_of(edges)
+    texts = texts_of(edges)
     best = edges.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
-    links = cut(link(best, sets), "links")
-    label = components(links)
+    links, label = joined(None, None, link(best, texts))
     rest = cut(apart(edges.select("a", "b").join(best, ["a", "b"], "left_anti"), label), "rest")
-    if rest.count():
-        links = cut(links.unionByName(link(rest, sets)), "links")
-        label = components(links)
+    if rest.limit(1).count():
+        links, label = joined(links, label, link(rest, texts))
+    for old in (texts, rest, edges):
+        drop_cut(old)
     # all other pairs within blocks, of different components
     block = found.where(f"kind = {BUCKET}").select(F.xxhash64("data").alias("block"), "data").dropDuplicates(["block"])
     member = cut(block.mapInArrow(members, "block long, node long"), "members")
-    more = None
-    for turn in range(len(SHARES) - 1):
-        labelled = member.select("block", "node").join(label, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("block")
-        if more is not None:
-            mixed = mixed.join(more, "block", "left_semi")
-        full = cut(labelled.join(mixed, "block"), "mixed")
-        drop_cut(member)
-        described_members = full.join(groups.select(F.col("class_id").alias("node"), "n", "sketch"), "node")
-        blocks_of = described_members.groupBy("block").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("members"))
-        crossed = cut(blocks_of.mapInArrow(cross_pairs(turn), "a long, b long").distinct(), "crossed")
-        more = crossed.where("a IS NULL").select(F.col("b").alias("block"))
-        late = crossed.where("a IS NOT NULL")
+    for whole in (*[False] * CLOSEST_TURNS, True):
+        labelled = cut(member.join(label, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component")), "labelled")
+        dealt = cut(tiles(labelled, whole, chunk), "tiles")
+        described_members = dealt.join(groups.select(F.col("class_id").alias("node"), "n", F.col("short").alias("sketch")), "node")
+        compared = described_members.groupBy("block", "low", "high").agg(F.collect_list(F.struct("chunk", "node", "component", "n", "sketch")).alias("members"))
+        late = cut(compared.mapInArrow(cross_pairs(whole), "a long, b long").distinct(), "crossed")
         if late.limit(1).count():
-            links = cut(links.unionByName(link(late, sets_of(late))), "links")
-            label = components(links)
-        if not more.limit(1).count():
+            texts = texts_of(late)
+            links, label = joined(links, label, link(late, texts))
+            drop_cut(texts)
+        more = cut(member.join(dealt.where("more").select("block").distinct(), "block", "left_semi"), "members")
+        for old in (labelled, dealt, late, member):
+            drop_cut(old)
+        member = more
+        if not member.limit(1).count():
             break
-        member = full
+    drop_cut(member)
     first = groups.select("class_id", "first_id")
     by_doc = links.join(first.withColumnsRenamed({"class_id": "a", "first_id": "fa"}), "a").join(first.withColumnsRenamed({"class_id": "b", "first_id": "fb"}), "b")
+    drop_cut(label)
     label = components(by_doc.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    drop_cut(links)
     verdict = groups.join(label, groups["first_id"] == label["node"], "left").select("class_id", "rows", F.coalesce("component", "first_id").alias("component_id"))
     some = join_groups(listed.where("n_shingles > 0").drop("sketch"), verdict, "class_id", "rows", listed.count())
     none = listed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class_id")

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +149,44 @@ def test_small_sets_against_brute_force(spark):
         assert len(np.intersect1d(keys[row == 0], keys[row == 1]))
 
 
+@pytest.mark.parametrize("chunk", [3, 512])
+def test_blocks_of_many_members_against_brute_force(spark, chunk):
+    """Groups of near copies and of texts that share passages only, dealt to small chunks; short texts of few words."""
+    from test_tables import near_components
+
+    rng = random.Random(chunk)
+    words = [f"v{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words[:3]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    shared = [f"s{i}" for i in range(14)]
+    for i in range(80):  # a passage in common, links along chains of tails only
+        texts.append(" ".join([*shared, *(f"t{j}" for j in range(i // 2, i // 2 + 6))]))
+    for g in range(4):
+        body = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(25):
+            mine = list(body)
+            for at in rng.sample(range(len(mine)), rng.randint(0, 2)):
+                mine[at] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(mine))
+    rng.shuffle(texts)
+    expected = {i: c for i, (_, c) in near_components(list(range(len(texts))), texts).items()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(rows, chunk=chunk).collect()} == expected
+
+
+def test_chunks_meet_once_or_are_left_for_later(spark):
+    """Every pair of different components of a block meets when all is tested, and no two of one large component do."""
+    members = [(1, n, 0 if n < 20 else 100 + n // 9 if n < 47 else n) for n in range(60)] + [(2, n, n) for n in range(5)]
+    member = spark.createDataFrame(members, "block long, node long, component long")
+    met = {}
+    for whole in (False, True):
+        groups = defaultdict(list)
+        for r in ngram_join.tiles(member, whole, 6).collect():
+            groups[r["block"], r["low"], r["high"]].append((r["chunk"], r["node"], r["component"]))
+        assert max(map(len, groups.values())) < 40
+        met[whole] = {(b, x[1], y[1]) for (b, low, high), g in groups.items() for x in g for y in g if x[2] != y[2] and (low == high or x[0] != y[0])}
+    assert met[True] == {(b, x, y) for b, x, cx in members for c, y, cy in members if b == c and cx != cy} and met[False] < met[True]
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(2)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)]
