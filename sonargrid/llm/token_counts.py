@@ -1,13 +1,15 @@
 """Edit-aware token counts.
 
-A document is a segment tree over its pre-token segments (a word and what is attached to it, cut at single spaces, where pre-tokens of byte-level
-BPE always begin); leaves hold the segments' token counts, inner nodes sums. An edit re-encodes only the segments it touches and one more on
-either side, which fixes the boundaries; the touched leaves are overwritten and the sums above them updated. The root is the count.
+A document is a segment tree over its pre-token segments (a word and what is attached to it, cut at spaces before anything but white space, where
+pre-tokens of byte-level BPE always begin); leaves hold the segments' token counts, inner nodes sums. An edit re-encodes only the segments it touches and
+one more on either side, which fixes the boundaries; the touched leaves are overwritten and the sums above them updated. The root is the count.
+The leaves can be kept in a column, from segment_counts; then nothing but the edited regions is encoded.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import UNSAFE, Bpe, default_path, load_ranks, loaded
-from .shared import arrow_batches, slices, table
+from .bpe import SEAM, Bpe, default_path, load_ranks, loaded, seams
+from .shared import arrow_batches, bytes_of, clash_free, slices, table
 
 #: The edits of the query: personal data and secrets make way for a placeholder.
 MASKS = [
-    (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), "[EMAIL]"),
+    (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), "[EMAIL]"),
     (re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b"), "[IP]"),
     (re.compile(r"\+?\d[\d ().-]{7,}\d"), "[PHONE]"),
     (re.compile(r"\b(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{20,}\b"), "[SECRET]"),
@@ -36,7 +38,9 @@ class TokenTree:
     """Token counts of one text's segments and their sums."""
 
     def __init__(self, text: str, segments: list[str], counts: np.ndarray):
-        """segments: text cut before single spaces; counts: tokens of each."""
+        """segments: text cut at its seams; counts: tokens of each."""
+        if len(segments) != len(counts):
+            raise ValueError("the counts are those of another text")
         self.text, self.segments = text, segments
         self.starts = np.cumsum([0, *map(len, segments)])
         self.leaves = 1 << max(0, (len(segments) - 1).bit_length())
@@ -88,30 +92,20 @@ class TokenTree:
         return "".join([*out, self.text[at:]])
 
 
-def cut_segments(text: str, safe: bool) -> list[str]:
-    if not safe:
-        return [text]
-    head, *rest = text.split(" ")
+def cut_segments(text: str) -> list[str]:
+    head, *rest = SEAM.split(text)
     return [head, *(" " + x for x in rest)]
 
 
-def trees(texts: pa.Array, bpe: Bpe, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, TokenTree]]:
-    """(tokens, segments) of each text, and the trees of the wanted ones. Each distinct segment of the batch is encoded once."""
-    texts = pc.fill_null(texts, "")
-    safe = np.asarray(pc.invert(pc.match_substring_regex(texts, UNSAFE)))
-    ids, offs = bpe.column(texts)
-    tokens = np.diff(offs)
-    n_segments = np.where(safe, np.asarray(pc.count_substring(texts, " ")).astype(np.int64) + 1, 1)
-    width = bpe.width[ids]
-    reach = np.append(0, np.cumsum(width))
-    out = {}
-    for i in np.flatnonzero(wanted).tolist():
-        text = texts[i].as_py()
-        segments = cut_segments(text, bool(safe[i]))
-        ends = np.cumsum([len(s.encode()) for s in segments])
-        counts = np.diff(np.searchsorted(reach, reach[offs[i]] + np.append(0, ends)))
-        out[i] = TokenTree(text, segments, counts)
-    return tokens, n_segments, out
+def leaves(texts: pa.Array, bpe: Bpe) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of the segments of all texts, as cut_segments has them; n + 1 offsets by text). Each distinct segment is encoded once."""
+    data, offs = bytes_of(texts)
+    ids, _ = bpe.column(texts)
+    found = seams(data, offs)
+    number = np.diff(np.searchsorted(found, offs)) + 1
+    begins = np.sort(np.concatenate([offs[:-1], found]))
+    reach = np.append(0, np.cumsum(bpe.width[ids]))
+    return np.diff(np.searchsorted(reach, np.append(begins, offs[-1]))), np.append(0, np.cumsum(number))
 
 
 def mask_edits(text: str) -> list[Edit]:
@@ -120,18 +114,44 @@ def mask_edits(text: str) -> list[Edit]:
         return []
     taken: list[Edit] = []
     for pattern, new in MASKS:
+        free = []
+        starts = [a for a, _, _ in taken]
         for m in pattern.finditer(text):
-            if all(m.end() <= a or b <= m.start() for a, b, _ in taken):
-                taken.append((m.start(), m.end(), new))
-    return sorted(taken)
+            i = bisect(starts, m.start())
+            if (i == 0 or taken[i - 1][1] <= m.start()) and (i == len(taken) or m.end() <= starts[i]):
+                free.append((m.start(), m.end(), new))
+        taken = sorted(taken + free)
+    return taken
 
 
-def counts_after_edits(docs: DataFrame, edits=mask_edits, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
+def segment_counts(docs: DataFrame, text: str = "text", path: str | None = None, name: str = "segment_counts") -> DataFrame:
+    """docs, all columns and rows, plus the leaves of each text's tree (array<int>, tokens by segment), to be stored with the text.
+
+    A null text has one segment without tokens. A column of docs with that name keeps it; the result's gets underscores.
+    """
+    arrow_batches(docs.sparkSession)
+    path = path or default_path()
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # bounded by the vocabulary's file
+    (name,) = clash_free(docs, name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path, ranks)
+        for batch in slices(batches, text, 2 << 20):
+            counts, edges = leaves(batch.column(place), bpe)
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(counts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def counts_after_edits(docs: DataFrame, edits=mask_edits, text: str = "text", doc_id: str = "doc_id", path: str | None = None, counts: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_segments, n_edits, n_reencoded, n_tokens_after, text_after) of every row.
 
-    edits(text) lists disjoint (start, end, replacement) in order. n_reencoded: segments encoded again. Null text is empty and has 0 tokens.
-    Texts with white space after a space, or a space at the end, are one segment. Repeated rows are counted each; other columns are
-    not read; an empty table gives an empty result.
+    edits(text) lists disjoint (start, end, replacement) in order. counts: the column that segment_counts made from this text; without it all segments are
+    encoded first. n_reencoded: segments encoded again. Null text is empty and has 0 tokens in 1 segment. Repeated rows are counted each; other
+    columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -144,16 +164,25 @@ def counts_after_edits(docs: DataFrame, edits=mask_edits, text: str = "text", do
         bpe = loaded(path, ranks)
         for batch in slices(batches, "text", 2 << 20):
             texts = batch.column("text").to_pylist()
-            todo = [edits(t) if t else [] for t in texts]
-            tokens, segments, built = trees(batch.column("text"), bpe, np.array([bool(e) for e in todo], bool))
-            after, again, result = tokens.copy(), np.zeros(len(texts), np.int64), list(texts)
-            for i, tree in built.items():
-                result[i] = tree.edit(todo[i], bpe)
-                after[i], again[i] = tree.total, tree.encoded
-            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (tokens, segments, [len(e) for e in todo], again, after)), pa.array(result, pa.string())]
+            if counts is None:
+                tokens, edges = leaves(batch.column("text"), bpe)
+            else:
+                stored = batch.column("counts")
+                tokens, edges = np.asarray(stored.flatten()).astype(np.int64), np.append(0, np.cumsum(pc.list_value_length(stored).to_numpy(zero_copy_only=False))).astype(np.int64)
+            sums = np.append(0, np.cumsum(tokens))
+            before, segments = np.diff(sums[edges]), np.diff(edges)
+            after, again, n_edits, result = before.copy(), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), list(texts)
+            for i, t in enumerate(texts):
+                todo = edits(t) if t else []
+                if todo:
+                    tree = TokenTree(t, cut_segments(t), tokens[edges[i] : edges[i + 1]])
+                    result[i] = tree.edit(todo, bpe)
+                    after[i], again[i], n_edits[i] = tree.total, tree.encoded, len(todo)
+            columns = [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (before, segments, n_edits, again, after)), pa.array(result, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    kept = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(counts).alias("counts")] if counts else [])]
+    return docs.select(kept).mapInArrow(run, schema)
 
 
 def op7_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,24 +340,25 @@ def test_best_fit_against_a_scan():
             assert [o for o, _ in used] == np.cumsum([0, *(n for _, n in used)])[:-1].tolist()
 
 
-TEXTS = ["", " ", "  two  spaces", "tail ", "a\n b", "a \n b", "tab\t x", "nbsp  y 　z", "<|endoftext|> plain", "émile's 12 don't  ", "\n\n x\n\n", "日本語 テキスト 🙂🙂 end", " lead", "a" * 3000]
+TEXTS = ["", " ", "  two  spaces", "tail ", "a\n b", "a \n b", "tab\t x", "nbsp  y 　z", "<|endoftext|> plain", "émile's 12 don't  ", "a<|endoftext|>", " <|endoftext|> <|endoftext|><|endoft", "x  y \x85 z\x1c b \u2003c  \u3000 d", "\n\n x\n\n", "日本語 テキスト 🙂🙂 end", " lead", "a" * 3000]
 
 
 def test_ids_equal_the_tokenizers_library():
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     tok = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rng = random.Random(8)
-    texts = TEXTS + ["".join(rng.choice(["word", " ", "\n", "'s", "9", ".", "é", "\t", "  ", " "]) for _ in range(40)) for _ in range(300)]
-    ids, offs = bpe.Bpe(bpe.load_ranks()).column(pa.array(texts), 2)
+    texts = TEXTS + ["".join(rng.choice(["word", " ", "\n", "'s", "9", ".", "é", "\t", "  ", "\xa0", "\u2003", "<|endoftext|>", "x y"]) for _ in range(40)) for _ in range(3000)]
+    ids, offs = bpe.Bpe(*bpe.load_ranks()).column(pa.array(texts), 2)
     for i, t in enumerate(texts):
         assert ids[offs[i] : offs[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
 
 
 def test_edits_against_a_new_count():
-    coder, rng = bpe.Bpe(bpe.load_ranks()), random.Random(9)
+    coder, rng = bpe.Bpe(*bpe.load_ranks()), random.Random(9)
     texts = TEXTS + [" ".join(rng.choice(["alpha", "beta's", "x1", "é", "end.\n", "12,3"]) for _ in range(30)) for _ in range(60)]
-    _, _, trees = token_counts.trees(pa.array(texts), coder, np.ones(len(texts), bool))
+    texts += ["".join(rng.choice(["alpha", " ", "  ", "\n", " \xa0", "<|endoftext|>", "é"]) for _ in range(40)) for _ in range(60)]
+    counts, edges = token_counts.leaves(pa.array(texts), coder)
+    trees = [token_counts.TokenTree(t, token_counts.cut_segments(t), counts[a:b]) for t, a, b in zip(texts, edges, edges[1:], strict=False)]
     for i, text in enumerate(texts):
         tree = trees[i]
         assert tree.total == len(coder.encode(text))
@@ -380,6 +381,18 @@ def test_token_counts(odd_docs, no_docs):
 PAGES = "page_id long, url string, html string, text string"
 
 
+def test_edits_reencode_what_they_touch(spark):
+    """Texts with two spaces in a row have a tree as others do, and stored leaves stand for a new encoding."""
+    words = " ".join(f"two  spaces {i}" for i in range(500))
+    rows = spark.createDataFrame([(1, f"{words} then mail ab@example.org {words}"), (2, None), (3, "plain"), (4, "9" * 50_000 + " a@b.org" * 2000)], "doc_id long, text string")
+    plain = {r["doc_id"]: r for r in token_counts.counts_after_edits(rows).collect()}
+    assert plain[1]["n_segments"] > 2000 and plain[1]["n_reencoded"] <= 3 and plain[1]["n_edits"] == 1 and plain[2]["n_segments"] == 1
+    stored = token_counts.segment_counts(clashing(rows, "segment_counts"))
+    assert {r["doc_id"]: r for r in token_counts.counts_after_edits(stored, counts="segment_counts_").collect()} == plain
+    numbers = " ".join(f"10.0.{i % 256}.{i % 100}" for i in range(30_000))
+    assert len(token_counts.mask_edits(numbers)) == 30_000
+
+
 def test_html(spark):
     menu = "<ul class='menu'><li>Home</li></ul>"
     notice = "This site was moved to a new place on the first of May last year, see there."

@@ -92,7 +92,6 @@ def test_passages(spark, tables, docs):
 def test_packing(spark, tables, docs):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     tok = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = result(spark, tables, "op9_best_fit_packing")
     pieces = {(r.doc_id, r.piece): r for r in out.itertuples()}
     count = 0
@@ -123,7 +122,7 @@ def test_token_counts(spark, tables, docs):
     from sonargrid.llm.bpe import Bpe, load_ranks
     from sonargrid.llm.token_counts import counts_after_edits
 
-    bpe = Bpe(load_ranks())
+    bpe = Bpe(*load_ranks())
     out = counts_after_edits(spark.read.parquet(f"{tables[0]}/documents.parquet")).toPandas().set_index("doc_id")
     for i, text, _ in docs:
         r = out.loc[i]
