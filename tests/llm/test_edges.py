@@ -409,6 +409,23 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>Body.</p></article><article class='comment'><p>First!</p></article>", "Body."),
+        ("<article><p>Body.</p><section class='user-comments'><article><p>First!</p></article></section><p>End.</p></article>", "Body.\nEnd."),
+        ("<article>Body.</article><section id=user-comments><article><p>First!</p></article></section>", "Body."),
+        ("<div class='ad'>Buy<article><p>Body.</p></article>", "Body."),
+        ("<article><p class='share-price'>Price.</p><section id='related-work'><p>Work.</p></section><p class='notice-of-motion'>Motion.</p></article>", "Price.\nWork.\nMotion."),
+        ("<article><p>Body.</p><div class='share-buttons'>Tweet</div><p class='cookie-notice'>Cookies</p><ul class='relatedPosts'><li>More</li></ul><div role='search'>Find</div></article>", "Body."),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><form>Name <button>Send</button></form></article>", "Let x=1 be."),
+        ("<main><header><h1>Title</h1></header><p>Body.</p><aside>Side</aside></main><footer>Foot</footer>", "Title\nBody."),
+    ],
+)
+def test_what_belongs_to_an_article(html, text):
+    assert "\n".join(t for kind, t in html_extract.blocks(html) if kind == html_extract.MAIN_TEXT) == text
+
+
 def test_suffix_cover_against_grams():
     rng = random.Random(5)
     pages = [[(html_extract.OTHER_TEXT, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))) for _ in range(rng.randint(0, 3))] for _ in range(8)]
