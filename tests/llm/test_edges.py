@@ -455,9 +455,9 @@ def test_quotes(spark):
     out = [tuple(r) for r in quotes.link_quotes(spark.createDataFrame(rows, schema)).collect()]
     assert len(out) == len(rows)
     got = {(r[0], r[1]): r[3:] for r in out}
-    assert got[1, 1] == (0, 1, "0000000000/0000000001", 1, 1, "I am fine thanks a lot")
-    assert got[1, 2] == (1, 2, "0000000000/0000000001/0000000002", 2, 2, "Good to hear that")
-    assert got[1, 3][:2] == (0, 1) and got[2, 1] == (None, 0, "0000000001", 1, 0, "ok") and got[2, 0][5] == ""
+    assert got[1, 1] == (0, 1, [0, 1], 1, 1, "I am fine thanks a lot")
+    assert got[1, 2] == (1, 2, [0, 1, 2], 2, 2, "Good to hear that")
+    assert got[1, 3][:2] == (0, 1) and got[2, 1] == (None, 0, [1], 1, 0, "ok") and got[2, 0][5] == ""
     assert quotes.link_quotes(spark.createDataFrame([], schema)).count() == 0
     deep = [(1, 0, "u", "message number 0 here", "m")] + [(1, i, "u", f"> message number {i - 1} here\nmessage number {i} here", "m") for i in range(1, 12)]
     assert {r["turn"]: r["depth"] for r in quotes.link_quotes(spark.createDataFrame(deep, schema)).collect()} == {i: i for i in range(12)}
@@ -471,6 +471,58 @@ def test_short_quotes(spark):
     assert out[1, 4]["depth"] == 4 and out[1, 7]["n_quotes"] == 0 and out[2, 0]["n_quotes"] == 1
 
 
+def test_quoting_threads_against_brute_force(spark):
+    """Generated conversations whose replies quote whole messages, lines, re-wrapped sentences or nothing; turns are large and negative numbers."""
+    rng = random.Random(12)
+    said, rows, expected = {}, [], {}
+    for conv in range(12):
+        turns = sorted(rng.sample(range(-(10**13), 10**13), 25))
+        for k, turn in enumerate(turns):
+            lines = [f"conv {conv} turn {k} line {i} says {rng.randint(0, 10**9)} and more words. Then {rng.randint(0, 10**9)} came after it." for i in range(rng.randint(1, 3))]
+            up = rng.choice(turns[:k]) if k and rng.random() < 0.8 else None
+            quote = []
+            if up is not None:
+                theirs, kind = said[conv, up], rng.randint(0, 3)
+                if kind == 0:
+                    quote = ["> " + x for x in theirs]
+                elif kind == 1:
+                    quote = [">" + theirs[-1].upper()]
+                elif kind == 2:
+                    words = " ".join(theirs).split()
+                    quote = ["> " + " ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+                else:  # the later half of a line, wrapped anew, and a quote of a quote
+                    words = re.split(r"(?<=[.]) ", theirs[0])[1].split()
+                    quote = [">> said before", "> " + " ".join(words[:3]), "> " + " ".join(words[3:])]
+            said[conv, turn] = lines
+            expected[conv, turn] = up
+            rows.append((conv, turn, "u", "\n".join([*quote, *lines])))
+    rng.shuffle(rows)
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): r for r in out.collect()}
+    assert {k: r["reply_to"] for k, r in got.items()} == expected
+    assert all(r["text"] == "\n".join(said[k]) for k, r in got.items())
+
+    def path(k):
+        return [*(path((k[0], expected[k])) if expected[k] is not None else []), k[1]]
+
+    assert all(r["reply_path"] == path(k) and r["depth"] == len(path(k)) - 1 for k, r in got.items())
+    built = defaultdict(list)
+    for r in sorted(quotes.threads(out, 4).collect(), key=lambda r: (r["conv_id"], r["thread"], r["part"])):
+        assert len(r["messages"]) <= 4
+        built[r["conv_id"], r["thread"]] += [m["turn"] for m in r["messages"]]
+    whole = defaultdict(list)
+    for k in sorted(expected, key=lambda k: (k[0], path(k))):
+        whole[k[0], path(k)[0]].append(k[1])
+    assert built == whole
+
+
+def test_a_line_that_all_quote(spark):
+    """2,000 turns quote and say one line: each replies to the turn before, without pairs."""
+    rows = [(1, i, "u", ("> Same line.\n" if i else "") + "Same line.") for i in range(2000)]
+    links = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("turn", "reply_to").collect()
+    assert all(r["reply_to"] == (r["turn"] - 1 if r["turn"] else None) for r in links)
+
+
 def test_pages_of_a_large_host_against_a_suffix_array(spark):
     rng = random.Random(12)
     word = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
