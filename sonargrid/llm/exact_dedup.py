@@ -1,9 +1,8 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 hashes every text to two slots and counts rows per slot (two longs per row shuffle, pre-aggregated per task). Slots
-hit by two or more rows are the set bits of the filter. Pass 2 probes the filter with every row: a row with an unset bit
-has a text of its own and passes straight through, without a shuffle; only the possibly repeated rows shuffle, are grouped by
-the SHA-256 of their normalised text and get the group's verdict.
+Pass 1 counts the 64-bit hashes of the texts, pre-aggregated per task; those of two rows or more are the members of a Bloom filter. Pass 2 probes the
+filter with every row: a row that isn't in it has a text of its own and passes straight through, without a shuffle; only the possibly
+repeated rows shuffle, are grouped by the SHA-256 of their normalised text and get the group's verdict.
 """
 
 from __future__ import annotations
@@ -11,23 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, clash_free, cut, join_groups, table
+from .shared import ascii_lower, clash_free, cut, drop_cut, join_groups, table
 
-BITS_PER_ROW = 16
-#: Words of 64 bits that the broadcast filter has at most; beyond, it is folded: more rows shuffle, none is lost.
+#: Bits of the filter for each repeated hash.
+BITS_PER_HASH = 16
+#: Words of 64 bits that the broadcast filter has at most; with more repeated hashes than that is made for more rows shuffle, none is lost.
 MAX_WORDS = 1 << 20
 
 
-def slots(digest: Column, bits: int) -> tuple[Column, Column]:
-    return F.pmod(F.xxhash64(digest, F.lit(1)), F.lit(bits)), F.pmod(F.xxhash64(digest, F.lit(2)), F.lit(bits))
+def digest(text: Column) -> Column:
+    """SHA-256, lowercase hex, of the normalised text in UTF-8."""
+    return F.sha2(ascii_lower(text).cast("binary"), 256)
 
 
-def repeat_filter(digests: DataFrame, digest: str, bits: int, max_words: int = MAX_WORDS) -> DataFrame:
-    """(word long, bits long): the words of the filter that have a set bit. A bit is set if two rows or more hit it."""
-    a, b = slots(F.col(digest), bits)
-    hit = digests.select(F.explode(F.array_distinct(F.array(a, b))).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    word = F.pmod(F.shiftright("slot", 6), F.lit(max_words))
-    return hit.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+def masks(slot: str) -> str:
+    """SQL of the two bits of a hash within its word of the filter."""
+    return f"(shiftleft(1L, cast(shiftrightunsigned({slot}, 52) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned({slot}, 58) as int)))"
+
+
+def repeat_filter(slots: DataFrame, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
+    """((word long, bits long): the words of the filter that have a set bit; words of the filter) for the hashes (slot) that occur in two rows or more."""
+    repeated = cut(slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot"), "repeated")
+    words, wanted = 1, BITS_PER_HASH * repeated.count() // 64
+    while words < min(wanted, max_words):
+        words *= 2
+    out = cut(repeated.groupBy(F.expr(f"slot & {words - 1}").alias("word")).agg(F.bit_or(F.expr(masks("slot"))).alias("bits")), "bloom")
+    drop_cut(repeated)
+    return out, words
+
+
+def judged(rows: DataFrame, doc_id: str, sha: str, names: list[str], max_words: int = MAX_WORDS) -> DataFrame:
+    """rows plus the columns keep_id, group_size and kept under the names given; sha is the column of digests."""
+    keep_id, group_size, kept = names
+    slot, word, bits = clash_free(rows, "slot", "word", "bits")
+    found, words = repeat_filter(rows.select(F.xxhash64(sha).alias("slot")), max_words)
+    side = F.broadcast(found.select(F.col("word").alias(word), F.col("bits").alias(bits)))  # at most max_words rows
+    probed = rows.withColumn(slot, F.xxhash64(sha)).join(side, F.expr(f"`{slot}` & {words - 1}") == F.col(word), "left")
+    maybe = F.coalesce(F.expr(f"(`{bits}` & {masks(f'`{slot}`')}) = {masks(f'`{slot}`')}"), F.lit(False))
+    alone = probed.where(~maybe).select(*rows.columns, F.col(doc_id).alias(keep_id), F.lit(1).cast("long").alias(group_size), F.lit(True).alias(kept))
+    again = cut(probed.where(maybe).select(rows.columns), "possibly-repeated")
+    groups = again.groupBy(sha).agg(F.max(doc_id).alias(keep_id), F.count(F.lit(1)).alias(group_size))
+    verdict = join_groups(again, groups, sha, group_size, again.count()).withColumn(kept, F.col(doc_id).eqNullSafe(F.col(keep_id)))
+    return alone.unionByName(verdict.select(alone.columns))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_words: int = MAX_WORDS) -> DataFrame:
@@ -39,34 +63,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
     largest id are kept. An empty table gives an empty result. Columns of docs that bear a result's name get the name plus
     underscores in the result's place, so none is overwritten.
     """
-    keep_id, group_size, kept, sha, mark1, mark2, word = clash_free(docs, "keep_id", "group_size", "kept", "text_sha256", "bits1", "bits2", "word")
-    hashed = docs.withColumn(sha, F.sha2(ascii_lower(F.col(text)).cast("binary"), 256))
-    n = docs.count()
-    bits = 64
-    while bits < BITS_PER_ROW * n:
-        bits *= 2
-    words = cut(repeat_filter(hashed.select(sha), sha, bits, max_words), "bloom")
-    probed = hashed
-    for slot, mark in zip(slots(F.col(sha), bits), (mark1, mark2), strict=True):
-        side = F.broadcast(words.select(F.col("word").alias(word), F.col("bits").alias(mark)))  # at most max_words rows
-        probed = probed.join(side, F.pmod(F.shiftright(slot, 6), F.lit(max_words)) == F.col(word), "left").drop(word)
-        probed = probed.withColumn(mark, F.coalesce(F.expr(f"(shiftright(`{mark}`, cast({slot_sql(sha, mark == mark1, bits)} & 63 as int)) & 1) = 1"), F.lit(False)))
-    maybe = F.col(mark1) & F.col(mark2)
-    alone = probed.where(~maybe).withColumns({keep_id: F.col(doc_id), group_size: F.lit(1).cast("long"), kept: F.lit(True)})
-    repeated = cut(probed.where(maybe).drop(mark1, mark2), "repeated")
-    groups = repeated.groupBy(sha).agg(F.max(doc_id).alias(keep_id), F.count(F.lit(1)).alias(group_size))
-    judged = join_groups(repeated, groups, sha, group_size, repeated.count()).withColumn(kept, F.col(doc_id).eqNullSafe(F.col(keep_id)))
-    order = [*docs.columns, keep_id, group_size, kept, sha]
-    return alone.select(order).unionByName(judged.select(order))
-
-
-def slot_sql(digest: str, first: bool, bits: int) -> str:
-    return f"pmod(xxhash64(`{digest}`, {1 if first else 2}), {bits})"
+    *names, sha = clash_free(docs, "keep_id", "group_size", "kept", "text_sha256")
+    return judged(docs.withColumn(sha, digest(F.col(text))), doc_id, sha, names, max_words).select(*docs.columns, *names, sha)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    docs = table(spark, sf_dir, "documents")
+    slim = cut(docs.select("doc_id", digest(F.col("text")).alias("text_sha256")), "digests")  # texts are read and hashed once
+    return judged(slim, "doc_id", "text_sha256", ["keep_id", "group_size", "kept"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP4_SQL = f"""

@@ -63,8 +63,9 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower-cases A-Z only; null counts as empty. Texts without other letters take the fast path."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def clash_free(df: DataFrame, *names: str) -> list[str]:
