@@ -19,6 +19,8 @@ from .shared import clash_free, cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
+#: Sources whose numbers are broadcast; more are joined by shuffle.
+FEW_SOURCES = 65_536
 
 
 def targets(totals: DataFrame, source: str, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -53,11 +55,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     emit() turns that into the mixed corpus. Sources weigh 1, 2, 3, repeating, in order of code point, null last (a null source is a
     source of its own). Null and empty texts have size 0; a source without words has target 0 and emits nothing. Ties of size and id
-    are broken by the text's hash; rows equal in all of these are interchangeable. The same rows give the same copies, however they
-    are partitioned. An empty table gives an empty result. Columns of docs that bear a result's name keep it; the result's name gets underscores.
+    are broken by the hash of the text, then of the whole row (maps aside); rows equal in all of these are interchangeable. The same rows give the same copies,
+    however they are partitioned. An empty table gives an empty result. Columns of docs that bear a result's name keep it; the result's name gets underscores.
     """
     size, source_size, target, copies, tie, key_src, key_id, turn = clash_free(docs, "size", "source_size", "target", "copies", "tie", "key_src", "key_id", "turn")
-    rows = docs.withColumns({tie: F.md5(F.coalesce(F.col(text), F.lit(""))), key_src: not_null(F.col(source)), key_id: not_null(F.col(doc_id))})
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    rows = docs.withColumns({tie: F.concat(F.md5(F.coalesce(F.col(text), F.lit(""))), F.hex(F.xxhash64(*plain))), key_src: not_null(F.col(source)), key_id: not_null(F.col(doc_id))})
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     slim = cut(rows.select(F.col(source).alias("src"), F.col(doc_id).alias("did"), F.col(tie).alias("tie"), words.alias("size")), "sizes")
     plan = targets(slim.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), "src", share)
@@ -68,11 +71,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
         F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_docs").cast("double")) / 16)).alias("salts"),
     )
+    plan = cut(plan, "sources")
     length = F.length(F.bin("size"))
-    drawn = slim.join(F.broadcast(plan), F.col("src").eqNullSafe(F.col("p_src"))).drop("p_src")  # one row per source
+    side = F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan
+    drawn = slim.join(side, F.col("src").eqNullSafe(F.col("p_src"))).drop("p_src")
     drawn = drawn.withColumns({
         "class": F.when(length > 4, F.expr("shiftright(size, length(bin(size)) - 4)") + 8 * (length - 4)).otherwise(F.col("size")),
-        "salt": F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("did").cast("string"), F.lit("?"))), 1, 8), 16, 10).cast("long"), F.col("salts")),
+        "salt": F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("did").cast("string"), F.col("tie"))), 1, 8), 16, 10).cast("long"), F.col("salts")),
     })
     buckets = drawn.groupBy("src", "class", "salt").agg(F.count(F.lit(1)).alias("n"))
     along = Window.partitionBy("src").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)

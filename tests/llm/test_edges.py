@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from odd import clashing
 from sonargrid.llm import bpe, components, exact_dedup, html_extract, language_id, media, mixing, ngram_join, packing, quotes, suffix_dedup, token_counts
@@ -46,6 +47,18 @@ def test_mixing(spark, odd_docs, no_docs):
     assert mixing.emit(out, "copies_").count() == found["copies_"].sum()
 
 
+def test_mix_of_rows_that_repeat_an_id(spark):
+    """Null ids are dealt as others are, and rows that differ in another column only get the same copies in every order."""
+    rows = [(None if i % 3 else i // 100, f"text {i % 7} of some words", "a" if i % 2 else "b", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other long")
+    one, two = ({r["other"]: r["copies"] for r in mixing.mix(d).collect()} for d in (df, df.repartition(7).orderBy(F.rand(3))))
+    assert one == two and len(one) == 900
+    sums = {}
+    for r in mixing.mix(df).collect():
+        sums[r["source"]] = sums.get(r["source"], 0) + r["copies"] * r["size"]
+    assert all(abs(sums[r["source"]] - r["target"]) < 10 for r in mixing.mix(df).collect())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_targets_against_rounds(spark, seed):
     rng = random.Random(seed)
