@@ -2,8 +2,9 @@
 
 write_media stores each payload as a WAV file (8-bit mono; a fact chunk holds the unpadded size) in ZIP shards of the shared folder, deflated,
 and returns a manifest of the shards that finished tasks wrote. The data source "archive_media" plans byte ranges over the shards of a
-manifest: the driver sees shard names and sizes only. A task reads its shard's directory, takes the members whose header lies in its range, reads each
-by its own offset, with retries that touch this member alone, and streams them as Arrow batches bounded in bytes.
+manifest: the driver sees shard names and sizes only, and plans at most MOST_PARTITIONS, of several ranges each if need be. A task reads its shards'
+directories, takes the members whose header lies in its ranges, reads each by its own offset, with retries that touch this member alone, and
+streams them as Arrow batches bounded in bytes. A directory that can't be read is tried again too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ RATE = 8000
 SHARD_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 8 << 20
+#: Partitions that a read has at most; beyond, ranges are joined to larger ones.
+MOST_PARTITIONS = 65_536
 TRIES = 4
 
 
@@ -102,31 +106,61 @@ def write_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return cut(slim.mapInArrow(run, "path string, size long, members long"), "media-manifest")
 
 
-class ByteRange(InputPartition):
-    """Members of one shard whose local header begins in [start, end)."""
+class ByteRanges(InputPartition):
+    """Members of shards whose local header begins in [start, end): a list of (path, start, end)."""
 
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
-def directory(source) -> list[zipfile.ZipInfo]:
-    with zipfile.ZipFile(source) as z:
-        return sorted(z.infolist(), key=lambda m: m.header_offset)
+def plan_ranges(shards: list[tuple[str, int]], range_bytes: int, most: int = MOST_PARTITIONS) -> list[list[tuple[str, int, int]]]:
+    """Lists of (path, start, end) that cover all shards (path, size) once, in order: each of about range_bytes, or more where that would make over most lists."""
+    share = max(range_bytes, -(-sum(n for _, n in shards) // most))
+    out: list[list[tuple[str, int, int]]] = []
+    room = 0
+    for path, size in shards:
+        for start in range(0, size, share):
+            end = min(start + share, size)
+            if end - start > room:
+                out.append([])
+                room = share
+            out[-1].append((path, start, end))
+            room -= end - start
+    return out
 
 
-def read_member(open_file, info: zipfile.ZipInfo, tries: int = TRIES, wait: float = 0.2) -> bytes:
-    """One member by its own offset. A failed read is repeated on a newly opened file; other members are not read again."""
+def retried(what, tries: int = TRIES, wait: float = 0.2):
+    """what(), again after a failed read, with growing pauses."""
     for attempt in range(tries):
         try:
-            with open_file() as f:
-                return member_at(f, info)
-        except (OSError, zlib.error, ValueError, struct.error):
+            return what()
+        except (OSError, zlib.error, ValueError, struct.error, zipfile.BadZipFile):
             if attempt == tries - 1:
                 raise
             time.sleep(wait * 2**attempt)
     raise ValueError("tries must be positive")
 
 
+def directory(source) -> list[zipfile.ZipInfo]:
+    with zipfile.ZipFile(source) as z:
+        return sorted(z.infolist(), key=lambda m: m.header_offset)
+
+
+def read_member(open_file, info: zipfile.ZipInfo, tries: int = TRIES, wait: float = 0.2) -> bytes:
+    """One member by its own offset. A failed read is repeated on a newly opened file; other members are not read again."""
+
+    def once() -> bytes:
+        with open_file() as f:
+            return member_at(f, info)
+
+    return retried(once, tries, wait)
+
+
+def members_of(open_file, start: int, end: int) -> list[zipfile.ZipInfo]:
+    with open_file() as f:
+        return [m for m in directory(f) if start <= m.header_offset < end]
+
+
 def member_at(f, info: zipfile.ZipInfo) -> bytes:
     f.seek(info.header_offset)
     head = f.read(30)
@@ -149,33 +183,31 @@ class ArchiveReader(DataSourceReader):
     def partitions(self):
         files, path = pafs.FileSystem.from_uri(self.manifest)
         shards = pq.read_table(path, filesystem=files, columns=["path", "size"]).sort_by("path")
-        ranges = [ByteRange(p, a, min(a + self.range_bytes, n)) for p, n in zip(shards["path"].to_pylist(), shards["size"].to_pylist(), strict=True) for a in range(0, n, self.range_bytes)]
-        return ranges or [ByteRange("", 0, 0)]
+        ranges = plan_ranges(list(zip(shards["path"].to_pylist(), shards["size"].to_pylist(), strict=True)), self.range_bytes)
+        return [ByteRanges(r) for r in ranges] or [ByteRanges([])]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        files, path = pafs.FileSystem.from_uri(partition.path)
-        with files.open_input_file(path) as f:
-            members = [m for m in directory(f) if partition.start <= m.header_offset < partition.end]
-        if not members:
-            return
-        # one sequential read of the range; a member that does not check out is read again by its own offset
-        stream = files.open_input_file(path)
         rows: list[tuple] = []
         size = 0
-        for m in members:
-            try:
-                media = member_at(stream, m)
-            except (OSError, zlib.error, ValueError, struct.error):
-                media = read_member(lambda: files.open_input_file(path), m)
-            payload, n = unwav(media)
-            rows.append((m.filename[3:] if m.filename.startswith("id/") else None, media, n, len(payload), features(payload)))
-            size += len(media)
-            if size >= BATCH_BYTES or len(rows) >= 4096:
-                yield record_batch(rows)
-                rows, size = [], 0
-        stream.close()
+        for uri, start, end in partition.ranges:
+            files, path = pafs.FileSystem.from_uri(uri)
+            open_file = partial(files.open_input_file, path)
+            members = retried(partial(members_of, open_file, start, end))
+            if not members:
+                continue
+            # one sequential read of the range; a member that does not check out is read again by its own offset
+            with open_file() as stream:
+                for m in members:
+                    try:
+                        media = member_at(stream, m)
+                    except (OSError, zlib.error, ValueError, struct.error):
+                        media = read_member(open_file, m)
+                    payload, n = unwav(media)
+                    rows.append((m.filename[3:] if m.filename.startswith("id/") else None, media, n, len(payload), features(payload)))
+                    size += len(media)
+                    if size >= BATCH_BYTES or len(rows) >= 4096:
+                        yield record_batch(rows)
+                        rows, size = [], 0
         if rows:
             yield record_batch(rows)
 

@@ -115,6 +115,23 @@ def test_member_is_retried_by_its_offset(tmp_path):
     assert len(payload) == 128 and media.unwav(media.wav(payload, 65)) == (payload, 65) and len(media.payload_of(b"")) == 64
 
 
+def test_ranges_cover_all_shards_once():
+    shards = [("a", 25), ("b", 3), ("c", 0), ("d", 4), ("e", 100)]
+    for size, most in ((10, 1000), (10, 5), (1, 3), (1000, 9)):
+        plan = media.plan_ranges(shards, size, most)
+        flat = [r for part in plan for r in part]
+        assert [(p, x) for p, a, b in flat for x in range(a, b)] == [(p, x) for p, n in shards for x in range(n)] and len(plan) <= max(2 * most, 132 // size * 2 + 2)
+    tries = []
+
+    def fails():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("away")
+        return "here"
+
+    assert media.retried(fails, wait=0) == "here" and len(tries) == 3
+
+
 def test_near_duplicates(odd_docs, no_docs):
     out = {r["doc_id"]: r for r in ngram_join.near_duplicates(clashing(odd_docs, "n", "component_id")).collect()}
     assert out[3]["n_shingles"] == out[4]["n_shingles"] == out[9]["n_shingles"] == 0
