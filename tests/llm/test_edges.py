@@ -257,12 +257,10 @@ def slow_bits(model, samples, lang, text, order):
     for name in samples:
         for t in samples[name]:
             contexts |= {t[i : i + k] for k in range(1, order + 1) for i in range(len(t) - k)}
-    unseen = sum(1 for b in range(256) if not any(bytes([b]) in t for ts in samples.values() for t in ts))
 
     def p(context, byte):
         if context is None:
-            known = any(byte in t for ts in samples.values() for t in ts)
-            return 1 / 256 if known else max(1, unseen) / 256
+            return 1 / 256
         shorter = p(context[1:] if context else None, byte)
         after = {g[-1:]: n for g, n in counts[len(context)].items() if g[:-1] == context}
         total = sum(after.values())
@@ -284,13 +282,27 @@ def test_code_lengths():
     model = language_id.Ppm(samples, order=2)
     texts = [b"banana", b"", b"zab cab", b"abracadabra banana bubble " * 3]
     data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    for lane in (4, 1024):
-        got = model.bits(data, offs, lane)
+    for lane, cells in ((4, 1 << 20), (1024, 1 << 20), (4, 0), (1024, 0)):
+        got = model.bits(data, offs, lane, cells)
         for i, t in enumerate(texts):
             for j, lang in enumerate(model.langs):
                 assert got[i, j] == pytest.approx(slow_bits(model, samples, lang, t, 2), rel=1e-4, abs=1e-3)
 
 
+def test_languages_do_not_depend_on_each_other():
+    """Every context is kept, however many languages there are, and a language's code lengths are its own."""
+    rng = random.Random(14)
+    samples = {f"l{i:02}": ["".join(rng.choice("abcdefghij klmnop"[i % 7 : i % 7 + 9]) for _ in range(400)).encode() for _ in range(4)] for i in range(19)}
+    texts = [x[0][:150] + b"\xff" for x in samples.values()]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    all_bits = language_id.Ppm(samples).bits(data, offs)
+    for i in (0, 7, 8, 18):
+        name = sorted(samples)[i]
+        alone = language_id.Ppm({name: samples[name]})
+        assert np.allclose(alone.bits(data, offs)[:, 0], all_bits[:, i]) and np.allclose(alone.bits(data, offs, cells=0)[:, 0], all_bits[:, i])
+        assert sum(len(a.escape) for a in alone.automata) == 1 + sum(len({t[j : j + k] for t in samples[name] for j in range(len(t) - k)}) for k in range(1, 5))
+
+
 def brute_removal(texts, span):
     seen, out = set(), []
     for t in texts:
