@@ -186,12 +186,12 @@ def assign(scores: DataFrame, keys: Keys, left: str, right: str, score: str) ->
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, left, right, score])
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        table = df.pivot_table(index=left, columns=right, values=score, aggfunc="sum", fill_value=0, sort=True)
-        n = max(table.shape)
+        (a, i), (b, j) = (np.unique(df[c].to_numpy(), return_inverse=True) for c in (left, right))
+        n = max(len(a), len(b))
         square = np.zeros((n, n))
-        square[: table.shape[0], : table.shape[1]] = -table.to_numpy(float)
-        found = [(r, c) for r, c in enumerate(hungarian(square)) if r < table.shape[0] and c < table.shape[1] and square[r, c] < 0]
-        rows = pd.DataFrame({left: [table.index[r] for r, _ in found], right: [table.columns[c] for _, c in found], score: [table.iat[r, c] for r, c in found]})
+        np.add.at(square, (i, j), -df[score].to_numpy(float))
+        found = [(r, c) for r, c in enumerate(hungarian(square)) if r < len(a) and c < len(b) and square[r, c] < 0]
+        rows = pd.DataFrame({left: [a[r] for r, _ in found], right: [b[c] for _, c in found], score: [-square[r, c] for r, c in found]})
         for k in keys:
             rows[k] = df[k].iloc[0]
         return rows[[*keys, left, right, score]]

@@ -52,40 +52,84 @@ def detection_error(hypothesis: DataFrame, reference: DataFrame, region: DataFra
     return sums.withColumn("error_rate", ratio(F.col("false_alarm") + F.col("miss"), F.col("scored"), None))
 
 
-def speaker_mapping(reference: DataFrame, hypothesis: DataFrame, region: DataFrame, keys: Keys, width) -> DataFrame:
-    """One-to-one speakers of highest common time inside the region (before collars): (keys, ref, hyp, overlap)."""
-    inside = region.select(*keys, "start", "end")
+#: Speakers that one running mask of bits holds.
+MASK = 62
+
 
-    def cut(df: DataFrame) -> DataFrame:
-        own = iv.merge(df, [*keys, "speaker"])
-        pairs = range_join(own, inside, keys, width, ("", "_u"))
-        return pairs.select(*keys, "speaker", F.col("o_start").alias("start"), F.col("o_end").alias("end"))
+def speaker_masks(reference: DataFrame, hypothesis: DataFrame, keys: Keys, collar=0, skip_overlap: bool = False, region: DataFrame | None = None) -> DataFrame:
+    """Merged rows (keys, side, speaker, start, end, number) of one sweep: side 0 reference, 1 hypothesis, 2 region, 3 collars, 4 raw reference.
 
-    both = range_join(cut(reference), cut(hypothesis), keys, width)
-    scores = both.groupBy(*keys, F.col("speaker_l").alias("ref"), F.col("speaker_r").alias("hyp")).agg(F.sum(F.col("o_end") - F.col("o_start")).cast("double").alias("overlap"))
-    return assign(scores, keys, "ref", "hyp", "overlap")
+    All sides are dealt by key once. number counts a key's speakers of a side from 0. Keys without reference are left out.
+    """
+    side = lambda d, n, speaker: d.where("end > start").select(*keys, F.lit(n).alias("side"), speaker.cast("string").alias("speaker"), "start", "end")
+    rows = side(reference, 0, F.col("speaker")).unionByName(side(hypothesis, 1, F.col("speaker")))
+    if region is not None:
+        rows = rows.unionByName(side(region, 2, F.lit("")))
+    if collar > 0:
+        rows = rows.unionByName(side(iv.collars(reference, keys, collar), 3, F.lit("")))
+    if skip_overlap:  # each interval by itself: a speaker's own overlapping ones count
+        rows = rows.unionByName(side(reference, 4, F.monotonically_increasing_id()))
+    rows = rows.repartition(*keys).withColumn("first", F.min("side").over(Window.partitionBy(*keys))).where("first = 0").drop("first")
+    by_speaker = [*keys, "side", "speaker"]
+    merged = iv.merge(rows, by_speaker)
+    return merged.withColumn("number", F.dense_rank().over(Window.partitionBy(*keys, "side").orderBy("speaker")) - 1)
+
+
+def speaker_pieces(reference: DataFrame, hypothesis: DataFrame, keys: Keys, collar=0, skip_overlap: bool = False, region: DataFrame | None = None, masks: int = 2) -> DataFrame:
+    """(keys, d, refs, hyps, scored) of the pieces inside the region in which anyone speaks: length, numbers of the active speakers, whether they are scored.
+
+    Active speakers are bits of running sums, MASK in each of masks columns a side; a key with more speakers is an error, to be run with more masks.
+    """
+    rows = speaker_masks(reference, hypothesis, keys, collar, skip_overlap, region)
+    number = F.when((F.col("side") > 1) | (F.col("number") < masks * MASK), F.col("number")).otherwise(F.raise_error(F.lit(f"more than {masks * MASK} speakers: raise masks")))
+    bit = F.expr(f"shiftleft(1L, cast(number % {MASK} as int))")
+    columns = {f"{name}{m}": F.when((F.col("side") == n) & (F.floor(F.col("number") / MASK) == m), bit).otherwise(F.lit(0).cast("long")) for n, name in ((0, "r"), (1, "h")) for m in range(masks)}
+    columns |= {name: F.when(F.col("side") == n, 1).otherwise(0) for n, name in ((2, "u"), (3, "c"), (4, "o"))}
+    edge = F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("s")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("s")))
+    edges = rows.withColumn("number", number).select(*keys, *(c.alias(n) for n, c in columns.items()), F.explode(edge).alias("e"))
+    points = edges.groupBy(*keys, F.col("e.t").alias("start")).agg(*(F.sum(F.col(c) * F.col("e.s")).alias(c) for c in columns))
+    w = Window.partitionBy(*keys).orderBy("start")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = points.select(*keys, (F.lead("start").over(w) - F.col("start")).alias("d"), *(F.sum(c).over(run).alias(c) for c in columns))
+    spoken = F.expr(" + ".join(f"bit_count({n}{m})" for n in "rh" for m in range(masks)))
+    pieces = pieces.where(F.col("d").isNotNull() & (spoken > 0))
+    if region is not None:
+        pieces = pieces.where("u > 0")
+    active = lambda n: F.expr("concat(" + ", ".join(f"transform(filter(sequence(0, {MASK - 1}), i -> getbit({n}{m}, i) = 1), i -> i + {m * MASK})" for m in range(masks)) + ")")
+    return pieces.select(*keys, "d", active("r").alias("refs"), active("h").alias("hyps"), ((F.col("c") == 0) & (F.col("o") < 2)).alias("scored"))
+
+
+def pair_times(pieces: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, ref, hyp, overlap, scored): common time of the speakers' numbers, all of it and what is scored of it."""
+    pairs = pieces.where("size(refs) > 0 AND size(hyps) > 0").select(*keys, "d", "scored", "hyps", F.explode("refs").alias("ref")).select(*keys, "d", "scored", "ref", F.explode("hyps").alias("hyp"))
+    return pairs.groupBy(*keys, "ref", "hyp").agg(F.sum("d").cast("double").alias("overlap"), F.sum(F.when(F.col("scored"), F.col("d")).otherwise(0)).alias("correct"))
+
+
+def speaker_mapping(reference: DataFrame, hypothesis: DataFrame, keys: Keys, region: DataFrame | None = None) -> DataFrame:
+    """One-to-one speakers of highest common time inside the region (before collars): (keys, ref, hyp, overlap)."""
+    best = assign(pair_times(speaker_pieces(reference, hypothesis, keys, region=region), keys).drop("correct"), keys, "ref", "hyp", "overlap")
+    names = speaker_masks(reference, hypothesis, keys).select(*keys, "side", "speaker", "number").distinct()
+    name = lambda n, c: names.where(F.col("side") == n).select(*keys, F.col("number").alias(c), F.col("speaker").alias(f"{c}_name"))
+    joined = best.join(name(0, "ref"), [*keys, "ref"]).join(name(1, "hyp"), [*keys, "hyp"])
+    return joined.select(*keys, F.col("ref_name").alias("ref"), F.col("hyp_name").alias("hyp"), "overlap")
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, keys: Keys, width, collar=0, skip_overlap: bool = False, region: DataFrame | None = None) -> DataFrame:
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, keys: Keys, collar=0, skip_overlap: bool = False, region: DataFrame | None = None) -> DataFrame:
     """Scored, missed, false alarm and confused speaker time, per key and TOTAL, and their rate.
 
     The mapping uses the region without collars, scoring the region with them (half-width collar) and, if asked, without reference overlap.
     Without a region it is the extent of reference and hypothesis. Keys without reference speakers are left out. No scored time: a null rate.
+    One sweep over a key's boundaries gives the pieces, the speakers active in each and the common time of all pairs.
     """
-    known = reference.select(*keys).distinct()
-    hypothesis = hypothesis.join(known, keys, "left_semi")
-    if region is None:
-        region = iv.extent(reference.select(*keys, "start", "end").unionByName(hypothesis.select(*keys, "start", "end")), keys)
-    mapping = speaker_mapping(reference, hypothesis, region, keys, width)
-    scored = iv.evaluation_region(region, reference, keys, collar, skip_overlap)
-    pieces = iv.atomic_timeline(scored, reference, hypothesis, keys).withColumn("d", F.col("end") - F.col("start"))
+    pieces = speaker_pieces(reference, hypothesis, keys, collar, skip_overlap, region)
+    n_ref, n_hyp, none = F.size("refs"), F.size("hyps"), F.lit(0)
+    time = lambda n: F.when(F.col("scored"), F.col("d") * n).otherwise(none)
     sums = pieces.select(
-        *keys, (F.col("d") * F.col("n_ref")).alias("scored"), (F.col("d") * F.greatest(F.col("n_ref") - F.col("n_hyp"), F.lit(0))).alias("miss"), (F.col("d") * F.greatest(F.col("n_hyp") - F.col("n_ref"), F.lit(0))).alias("false_alarm"), (F.col("d") * F.least("n_ref", "n_hyp")).alias("matchable"), F.lit(0).alias("correct")
+        *keys, time(n_ref).alias("scored"), time(F.greatest(n_ref - n_hyp, none)).alias("miss"), time(F.greatest(n_hyp - n_ref, none)).alias("false_alarm"), time(F.least(n_ref, n_hyp)).alias("matchable"), none.alias("correct")
     )
-    # time of mapped pairs inside the scored region
-    renamed = iv.merge(hypothesis, [*keys, "speaker"]).withColumnRenamed("speaker", "hyp").join(mapping.drop("overlap"), [*keys, "hyp"]).select(*keys, F.col("ref").alias("speaker"), "start", "end")
-    both = range_join(iv.merge(reference, [*keys, "speaker"]), renamed, [*keys, "speaker"], width).select(*keys, F.col("o_start").alias("start"), F.col("o_end").alias("end"))
-    right = range_join(both, scored, keys, width).select(*keys, *(F.lit(0).alias(c) for c in ("scored", "miss", "false_alarm", "matchable")), (F.col("o_end") - F.col("o_start")).alias("correct"))
+    pairs = pair_times(pieces, keys)
+    mapping = assign(pairs.drop("correct"), keys, "ref", "hyp", "overlap").drop("overlap")
+    right = pairs.join(mapping, [*keys, "ref", "hyp"]).select(*keys, *(none.alias(c) for c in ("scored", "miss", "false_alarm", "matchable")), "correct")
     out = with_total(sums.unionByName(right), keys, *(F.sum(c).alias(c) for c in ("scored", "miss", "false_alarm", "matchable", "correct")))
     out = out.withColumn("confusion", F.col("matchable") - F.col("correct")).drop("matchable", "correct")
     return out.withColumn("der", ratio(F.col("miss") + F.col("false_alarm") + F.col("confusion"), F.col("scored"), None))
@@ -103,21 +147,12 @@ def speaker_counts(reference: DataFrame, hypothesis: DataFrame, keys: Keys) -> D
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays, by nested folds: one row of the table at a time, in the JVM. For turns and sentences."""
-    first = F.sequence(F.lit(0), F.size(b))
-
-    def next_row(acc: Column, x: Column) -> Column:
-        row, i = acc["row"], acc["i"] + 1
-        cells = F.zip_with(b, F.sequence(F.lit(1), F.size(b)), lambda y, j: F.struct(y.alias("y"), j.alias("j")))
-        filled = F.aggregate(
-            cells,
-            F.array(i),
-            lambda left, c: F.concat(left, F.array(F.least(F.element_at(left, -1) + 1, F.element_at(row, c["j"] + 1) + 1, F.element_at(row, c["j"]) + F.when(c["y"].eqNullSafe(x), 0).otherwise(1)))),
-        )
-        return F.struct(F.when(F.size(b) == 0, F.array(i)).otherwise(filled).alias("row"), i.alias("i"))
-
-    start = F.struct(F.when(F.size(b) == 0, F.array(F.lit(0))).otherwise(first).alias("row"), F.lit(0).alias("i"))
-    return F.element_at(F.aggregate(a, start, next_row, lambda acc: acc["row"]), -1)
+    """Levenshtein distance of two arrays of strings, in the JVM: each distinct word becomes a character, and the texts of these are compared."""
+    known = F.array_distinct(F.concat(a, b))
+    code = lambda w, dictionary: F.coalesce(F.array_position(dictionary, w), F.lit(0)) + 256
+    text = lambda c, dictionary: F.decode(F.unhex(F.array_join(F.transform(c, lambda w: F.lpad(F.hex(F.when(code(w, dictionary) < 0xD800, code(w, dictionary)).otherwise(code(w, dictionary) + 0x800)), 8, "0")), "")), "UTF-32")
+    both = F.transform(F.array(known), lambda d: F.levenshtein(text(a, d), text(b, d)))  # the dictionary is built once
+    return F.element_at(both, 1)
 
 
 def words(text: Column) -> Column:

@@ -20,7 +20,8 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    return F.transform(v, lambda x: x / F.when(norm(v) > 0, norm(v)).otherwise(1.0))
+    length = F.transform(F.array(norm(v)), lambda n: F.when(n > 0, n).otherwise(1.0))  # taken once, not for each entry
+    return F.flatten(F.transform(length, lambda n: F.transform(v, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column, eps: float = 3.5e-4) -> Column:

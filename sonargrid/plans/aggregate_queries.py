@@ -9,7 +9,7 @@ from ..operators import sampling as sa
 from ..operators import vectors as ve
 from .interval_queries import merged_sql
 from .registration import Registry
-from .views import HOUR, INTERVALS, TURN_WORDS, TURNS, segments, table, turns
+from .views import HOUR, INTERVALS, TURNS, segments, table, turns
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -34,9 +34,26 @@ def interval_prf(spark, sf_dir):
     return out.select("user_id", "intersection", "hypothesis", "reference", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+COLLAR = HOUR // 240
+
+
+@query(f"""WITH {INTERVALS}, a AS (SELECT user_id, channel, s, e FROM iv WHERE event_id % 2 = 0), b AS (SELECT user_id, channel, s, e FROM iv WHERE event_id % 2 = 1 AND user_id IN (SELECT user_id FROM a)), {merged_sql('a', 0, 'ma', 'user_id, channel')}, {merged_sql('b', 0, 'mb', 'user_id, channel')},
+co AS (SELECT user_id, t - {COLLAR} AS s, t + {COLLAR} AS e FROM (SELECT user_id, s AS t FROM a UNION ALL SELECT user_id, e FROM a)), {merged_sql('co', 0, 'mc')},
+ev AS (SELECT user_id, s AS t FROM ma UNION SELECT user_id, e FROM ma UNION SELECT user_id, s FROM mb UNION SELECT user_id, e FROM mb UNION SELECT user_id, s FROM mc UNION SELECT user_id, e FROM mc),
+pc AS (SELECT user_id, t AS s, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS e FROM ev),
+ps AS (SELECT pc.*, NOT EXISTS (SELECT 1 FROM mc WHERE mc.user_id = pc.user_id AND mc.s <= pc.s AND mc.e >= pc.e) AS scored FROM pc WHERE e IS NOT NULL),
+rs AS (SELECT ps.user_id, ps.s, ps.e, scored, channel AS r FROM ps JOIN ma ON ma.user_id = ps.user_id AND ma.s <= ps.s AND ma.e >= ps.e), hs AS (SELECT ps.user_id, ps.s, ps.e, scored, channel AS h FROM ps JOIN mb ON mb.user_id = ps.user_id AND mb.s <= ps.s AND mb.e >= ps.e),
+n AS (SELECT user_id, s, e, scored, sum(r)::BIGINT AS nr, sum(h)::BIGINT AS nh FROM (SELECT user_id, s, e, scored, 1 AS r, 0 AS h FROM rs UNION ALL SELECT user_id, s, e, scored, 0, 1 FROM hs) GROUP BY ALL),
+pr AS (SELECT rs.user_id, r, h, sum(rs.e - rs.s) AS o, sum(CASE WHEN rs.scored THEN rs.e - rs.s ELSE 0 END) AS c FROM rs JOIN hs ON rs.user_id = hs.user_id AND rs.s = hs.s GROUP BY 1, 2, 3),
+ch AS (SELECT list(DISTINCT channel) AS l FROM iv), pe AS (SELECT row_number() OVER () AS pid, * FROM (SELECT unnest(l) AS c1 FROM ch), (SELECT unnest(l) AS c2 FROM ch), (SELECT unnest(l) AS c3 FROM ch), (SELECT unnest(l) AS c4 FROM ch), (SELECT unnest(l) AS c5 FROM ch) WHERE len(list_distinct([c1, c2, c3, c4, c5])) = 5),
+pm AS (SELECT pid, unnest(list_sort(l)) AS r, unnest([c1, c2, c3, c4, c5]) AS h FROM pe, ch),
+tt AS (SELECT user_id, pid, sum(o) AS o, sum(c) AS c FROM pr JOIN pm USING (r, h) GROUP BY 1, 2), ok AS (SELECT user_id, arg_max(c, o) AS correct FROM tt GROUP BY 1),
+k AS (SELECT user_id, sum(nr * (e - s)) AS scored, sum(greatest(nr - nh, 0) * (e - s)) AS miss, sum(greatest(nh - nr, 0) * (e - s)) AS false_alarm, sum(least(nr, nh) * (e - s)) AS m, 0 AS c FROM n WHERE scored GROUP BY 1 UNION ALL SELECT user_id, 0, 0, 0, 0, 0 FROM a UNION ALL SELECT user_id, 0, 0, 0, 0, correct FROM ok),
+g AS (SELECT CASE WHEN grouping(user_id) = 1 THEN 'TOTAL' ELSE user_id::VARCHAR END AS user_id, sum(scored)::BIGINT AS scored, sum(miss)::BIGINT AS miss, sum(false_alarm)::BIGINT AS false_alarm, (sum(m) - sum(c))::BIGINT AS confusion FROM k GROUP BY ROLLUP (user_id))
+SELECT *, round((miss + false_alarm + confusion) / nullif(scored, 0)::DOUBLE, 9) AS der FROM g""")
 def diarization_error(spark, sf_dir):
-    return me.diarization_error(segments(spark, sf_dir, 0), segments(spark, sf_dir, 1), ["user_id"], HOUR, collar=HOUR // 240)
+    out = me.diarization_error(segments(spark, sf_dir, 0), segments(spark, sf_dir, 1), ["user_id"], collar=COLLAR)
+    return out.withColumn("der", F.round("der", 9))
 
 
 @query(f"""WITH {INTERVALS}, a AS (SELECT user_id, s, e FROM iv WHERE event_id % 2 = 0), b AS (SELECT user_id, s, e FROM iv WHERE event_id % 2 = 1), {merged_sql('a', 0, 'ma')}, {merged_sql('b', 0, 'mb')},
@@ -58,17 +75,16 @@ def speaker_counts(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {TURNS}, t AS (SELECT pair, list_filter(string_split(reference, ' '), lambda x: x <> '') AS r, list_filter(string_split(hypothesis, ' '), lambda x: x <> '') AS h FROM tp),
-c AS (SELECT pair, r, h, 0 AS i, 0 AS j, range(0, len(h) + 1)::BIGINT[] AS above, [0]::BIGINT[] AS cur FROM t
-UNION ALL SELECT pair, r, h, CASE WHEN len(cur) = len(h) + 1 THEN i + 1 ELSE i END, CASE WHEN len(cur) = len(h) + 1 THEN 0 ELSE j + 1 END, CASE WHEN len(cur) = len(h) + 1 THEN cur ELSE above END,
-CASE WHEN i = 0 AND len(cur) < len(h) + 1 THEN above WHEN len(cur) = len(h) + 1 THEN [i + 1]::BIGINT[] ELSE list_append(cur, least(cur[-1] + 1, above[len(cur) + 1] + 1, above[len(cur)] + CASE WHEN r[i] = h[len(cur)] THEN 0 ELSE 1 END)) END FROM c WHERE i < len(r) OR len(cur) < len(h) + 1)
-SELECT pair, len(r)::INT AS n_ref, cur[-1]::INT AS n_err, round(CASE WHEN len(r) > 0 THEN cur[-1] / len(r)::DOUBLE WHEN cur[-1] > 0 THEN 'inf'::DOUBLE ELSE 0 END, 9) AS rate FROM c WHERE i = len(r) AND len(cur) = len(h) + 1""")
+c AS (SELECT pair, r, h, 0 AS i, range(0, len(h) + 1)::BIGINT[] AS cur FROM t
+UNION ALL SELECT pair, r, h, i + 1, list_transform(range(1, len(h) + 2), lambda j: j - 1 + list_min(step[1:j])) FROM (SELECT *, list_transform(range(0, len(h) + 1), lambda k: CASE WHEN k = 0 THEN i + 1 ELSE least(cur[k + 1] + 1, cur[k] + CASE WHEN r[i + 1] = h[k] THEN 0 ELSE 1 END) END - k) AS step FROM c WHERE i < len(r)))
+SELECT pair, len(r)::INT AS n_ref, cur[-1]::INT AS n_err, round(CASE WHEN len(r) > 0 THEN cur[-1] / len(r)::DOUBLE WHEN cur[-1] > 0 THEN 'inf'::DOUBLE ELSE 0 END, 9) AS rate FROM c WHERE i = len(r)""")
 def word_error_counts(spark, sf_dir):
-    return me.error_counts(turns(spark, sf_dir, TURN_WORDS), "reference", "hypothesis").select("pair", "n_ref", "n_err", F.round("rate", 9).alias("rate"))
+    return me.error_counts(turns(spark, sf_dir), "reference", "hypothesis").select("pair", "n_ref", "n_err", F.round("rate", 9).alias("rate"))
 
 
 @query(f"""WITH {TURNS} SELECT pair, length(reference) AS n_ref, levenshtein(reference, hypothesis) AS n_err, round(CASE WHEN length(reference) > 0 THEN levenshtein(reference, hypothesis) / length(reference)::DOUBLE WHEN length(hypothesis) > 0 THEN 'inf'::DOUBLE ELSE 0 END, 9) AS rate FROM tp""")
 def character_error_counts(spark, sf_dir):
-    return me.error_counts(turns(spark, sf_dir, TURN_WORDS), "reference", "hypothesis", by_character=True).select("pair", F.col("n_ref").cast("long").alias("n_ref"), F.col("n_err").cast("long").alias("n_err"), F.round("rate", 9).alias("rate"))
+    return me.error_counts(turns(spark, sf_dir), "reference", "hypothesis", by_character=True).select("pair", F.col("n_ref").cast("long").alias("n_ref"), F.col("n_err").cast("long").alias("n_err"), F.round("rate", 9).alias("rate"))
 
 
 @query()
@@ -81,7 +97,7 @@ def session_cpwer(spark, sf_dir):
 @query(f"""WITH {TURNS}, g AS (SELECT pair, unnest(list_filter(string_split(reference, ' '), lambda x: x <> '')) AS w, 1 AS k FROM tp UNION ALL SELECT pair, unnest(list_filter(string_split(hypothesis, ' '), lambda x: x <> '')), 0 FROM tp),
 c AS (SELECT pair, w, sum(k) AS r, sum(1 - k) AS h FROM g GROUP BY 1, 2) SELECT pair, 1 AS n, sum(least(r, h))::BIGINT AS matches, sum(h)::BIGINT AS total FROM c WHERE h > 0 GROUP BY 1""")
 def unigram_matches(spark, sf_dir):
-    return me.ngram_matches(turns(spark, sf_dir, TURN_WORDS), "pair", "reference", "hypothesis", 1)
+    return me.ngram_matches(turns(spark, sf_dir), "pair", "reference", "hypothesis", 1)
 
 
 @query()

@@ -41,10 +41,10 @@ def merge_neighbours(spark, sf_dir):
     return iv.merge_neighbours(intervals(spark, sf_dir), ["user_id"])
 
 
-@query(f"WITH {INTERVALS} SELECT user_id, channel, s AS start, e AS \"end\" FROM iv WHERE event_id % 2 = 0 AND (user_id, s, e) NOT IN (SELECT user_id, s, e FROM iv WHERE event_id % 4 = 0)")
+@query(f"WITH {INTERVALS} SELECT user_id, channel, s AS start, e AS \"end\" FROM iv WHERE (user_id, s, e) NOT IN (SELECT user_id, s, e FROM iv WHERE event_id % 4 = 0)")
 def remove_exact(spark, sf_dir):
     rows = intervals(spark, sf_dir)
-    return iv.remove_exact(rows.where("event_id % 2 = 0"), rows.where("event_id % 4 = 0"), ["user_id"]).select("user_id", "channel", "start", "end")
+    return iv.remove_exact(rows, rows.where("event_id % 4 = 0"), ["user_id"]).select("user_id", "channel", "start", "end")
 
 
 @query(f"WITH {INTERVALS} SELECT user_id, s AS t FROM iv UNION ALL SELECT user_id, e FROM iv")
@@ -224,10 +224,9 @@ def label_means(spark, sf_dir):
     return rows.groupBy("label").agg(F.round(st.mean_or_zero(F.col("x").cast("double")), 7).alias("mean"))
 
 
-@query("SELECT i, j, round(covar_pop(a, b), 7) AS cov FROM (SELECT x.i, y.i AS j, x.v AS a, y.v AS b FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) x JOIN (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) y ON x.vec_id = y.vec_id AND x.i <= y.i AND y.i < 8) GROUP BY 1, 2")
+@query("SELECT i, j, round(covar_pop(a, b), 7) AS cov FROM (SELECT x.i, y.i AS j, x.v AS a, y.v AS b FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) x JOIN (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) y ON x.vec_id = y.vec_id AND x.i <= y.i) GROUP BY 1, 2")
 def embedding_covariance(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8))
-    return st.covariance(rows, "embedding").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("cov", 7).alias("cov"))
+    return st.covariance(table(spark, sf_dir, "embeddings"), "embedding").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("cov", 7).alias("cov"))
 
 
 @query(f"WITH {CHANNEL_FRAMES}, a AS (SELECT user_id, frame, list(score ORDER BY channel) AS p FROM cf GROUP BY 1, 2) SELECT user_id, frame, round((list_max(p) * len(p) - 1) / (len(p) - 1), 6) AS confidence, list_min(p) AS least FROM a WHERE len(p) > 1")

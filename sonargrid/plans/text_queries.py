@@ -52,9 +52,9 @@ def path_stems(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pr.stem(F.col("url")).alias("stem"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(left(text, 400), '\\s+'), lambda x: x <> '') AS w FROM documents), x AS (SELECT doc_id, w, unnest(generate_series(0, (len(w) - 1) // 10)) AS i FROM t WHERE len(w) > 0) SELECT doc_id, i::INT AS "window", array_to_string(w[i * 10 + 1 : i * 10 + 10], ' ') AS words FROM x""")
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), x AS (SELECT doc_id, w, unnest(generate_series(0, (len(w) - 1) // 10)) AS i FROM t WHERE len(w) > 0) SELECT doc_id, i::INT AS "window", array_to_string(w[i * 10 + 1 : i * 10 + 10], ' ') AS words FROM x""")
 def token_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", tx.word_tokens(F.substring("text", 1, 400)).alias("words"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.word_tokens(F.col("text")).alias("words"))
     return sa.token_windows(rows, "words", 10).select("doc_id", "window", F.array_join("words", " ").alias("words"))
 
 

@@ -11,7 +11,7 @@ from ..operators import statistics as st
 from ..operators import transcripts as tr
 from ..operators import vectors as ve
 from .registration import Registry
-from .views import INTERVALS, TURN_WORDS, TURNS, intervals, segments, table, turns
+from .views import INTERVALS, TURNS, intervals, table, turns
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -78,7 +78,7 @@ def match_by_language(spark, sf_dir):
 c AS (SELECT pair, w, sum(k) AS r, sum(1 - k) AS h FROM g GROUP BY 1, 2), f AS (SELECT pair, sum(least(r, h))::BIGINT AS common, sum(r)::INT AS n_ref, sum(h)::INT AS n_hyp FROM c GROUP BY 1)
 SELECT pair, coalesce(common, 0) AS common, coalesce(n_ref, 0)::INT AS n_ref, coalesce(n_hyp, 0)::INT AS n_hyp, round(CASE WHEN n_ref + n_hyp > 0 THEN 2.0::DOUBLE * common / (n_ref + n_hyp) ELSE 0 END, 9) AS f1 FROM tp LEFT JOIN f USING (pair)""")
 def token_f1(spark, sf_dir):
-    return me.token_f1(turns(spark, sf_dir, TURN_WORDS), "pair", "reference", "hypothesis").select("pair", "common", "n_ref", "n_hyp", F.round("f1", 9).alias("f1"))
+    return me.token_f1(turns(spark, sf_dir), "pair", "reference", "hypothesis").select("pair", "common", "n_ref", "n_hyp", F.round("f1", 9).alias("f1"))
 
 
 @query("SELECT event_id, user_id, round(sum(value) OVER w, 9) AS value_sum, round(avg(value) OVER w, 9) AS value_avg, max(value) OVER w AS value_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
@@ -109,7 +109,7 @@ def rank_stride(spark, sf_dir):
     return sa.rank_stride(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], 3, F.col("n_chars"), F.col("doc_id")).select("doc_id", "source", "rank")
 
 
-@query(f"""WITH {INTERVALS}, x AS (SELECT user_id, channel AS speaker, s, e, lag(channel) OVER w AS pc, lag(e) OVER w AS pe FROM iv WHERE event_id % 2 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY s, e)), y AS (SELECT *, sum(CASE WHEN pc = speaker AND pe = s THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS t FROM x)
+@query(f"""WITH {INTERVALS}, x AS (SELECT user_id, channel AS speaker, s, e, lag(channel) OVER w AS pc, lag(e) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY user_id ORDER BY s, e, channel)), y AS (SELECT *, sum(CASE WHEN pc = speaker AND pe = s THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e, speaker ROWS UNBOUNDED PRECEDING) AS t FROM x)
 SELECT user_id, speaker, min(s) AS start, max(e) AS "end" FROM y GROUP BY user_id, speaker, t""")
 def merge_turns(spark, sf_dir):
-    return iv.merge_turns(segments(spark, sf_dir, 0), ["user_id"])
+    return iv.merge_turns(intervals(spark, sf_dir).withColumnRenamed("channel", "speaker"), ["user_id"])

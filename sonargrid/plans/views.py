@@ -51,17 +51,14 @@ def channel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANNEL_FRAMES = "cf AS (SELECT user_id, (event_id % 3)::INT AS channel, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) - 1 AS frame, ((event_id * 37) % 101) / 100.0::DOUBLE AS score FROM events)"
 
 
-def turns(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """conversations as pairs (pair, reference, hypothesis): the words of a turn and of the next, only the first most of them if given."""
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as pairs (pair, reference, hypothesis): the words of a turn and of the next."""
     c = table(spark, sf_dir, "conversations")
-    plain = lambda t: F.trim(F.regexp_replace(t, r"[^a-zA-Z]+", " "))
-    w = lambda t: plain(t) if most is None else F.array_join(F.slice(F.split(plain(t), " "), 1, most), " ")
-    a = c.where("turn % 2 = 0").select("conv_id", "turn", w(F.col("text")).alias("reference"))
-    b = c.where("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("turn"), w(F.col("text")).alias("hypothesis"))
+    w = F.trim(F.regexp_replace("text", r"[^a-zA-Z]+", " "))
+    a = c.where("turn % 2 = 0").select("conv_id", "turn", w.alias("reference"))
+    b = c.where("turn % 2 = 1").select("conv_id", (F.col("turn") - 1).alias("turn"), w.alias("hypothesis"))
     return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "conv_id", "reference", "hypothesis")
 
 
-#: Words of a turn in TURNS, and in the queries that are held against it.
-TURN_WORDS = 8
-_W = "array_to_string(string_split(trim(regexp_replace({0}.text, '[^a-zA-Z]+', ' ', 'g')), ' ')[1:8], ' ')"
+_W = "trim(regexp_replace({0}.text, '[^a-zA-Z]+', ' ', 'g'))"
 TURNS = f"tp AS (SELECT a.conv_id * 1000 + a.turn AS pair, a.conv_id, {_W.format('a')} AS reference, {_W.format('b')} AS hypothesis FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0)"

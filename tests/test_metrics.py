@@ -19,14 +19,14 @@ def segments(spark, items):
 @pytest.mark.parametrize("collar,scored,confusion", [(0, 20, 2), (0.25, 19, 1.75)])
 def test_der_values(spark, collar, scored, confusion):
     ref, hyp = segments(spark, [("A", 0, 10), ("B", 10, 20)]), segments(spark, [("x", 0, 12), ("y", 12, 20)])
-    out = {r["file"]: r for r in me.diarization_error(ref, hyp, ["file"], 5, collar).collect()}["f"]
+    out = {r["file"]: r for r in me.diarization_error(ref, hyp, ["file"], collar).collect()}["f"]
     assert (out["scored"], round(out["confusion"], 9), out["miss"], out["false_alarm"]) == (scored, confusion, 0, 0)
     assert out["der"] == pytest.approx(confusion / scored)
 
 
 def test_der_of_itself_is_zero(spark):
     ref = segments(spark, [("A", 0, 10), ("B", 5, 20), ("C", 19, 25)])
-    assert {r["der"] for r in me.diarization_error(ref, ref, ["file"], 5).collect()} == {0.0}
+    assert {r["der"] for r in me.diarization_error(ref, ref, ["file"]).collect()} == {0.0}
 
 
 def test_hungarian_against_enumeration():

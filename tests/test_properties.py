@@ -48,7 +48,7 @@ def test_union_vote_and_complement(spark, found):
 @given(recordings)
 def test_error_of_itself_is_zero(spark, found):
     df = frame(spark, found).where("end > start").selectExpr("rec", "CAST(chan AS STRING) AS speaker", "start", "end")
-    for r in me.diarization_error(df, df, ["rec"], 7).collect():
+    for r in me.diarization_error(df, df, ["rec"]).collect():
         assert (r["miss"], r["false_alarm"], r["confusion"]) == (0, 0, 0)
 
 
