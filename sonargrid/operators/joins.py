@@ -177,13 +177,13 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(scores: DataFrame, keys: Keys, left: str, right: str, score: str) -> DataFrame:
-    """One-to-one pairs (keys, left, right, score) of the highest total score per key; pairs without positive score go.
+def assign(scores: DataFrame, keys: Keys, left: str, right: str, score: str, *more: str) -> DataFrame:
+    """One-to-one pairs (keys, left, right, score) of the highest total score per key; pairs without positive score go. more: columns summed along.
 
     The matrix of one key is left names by right names, small by nature (speakers of a recording).
     """
     types = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, left, right, score])
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, left, right, score, *more])
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         (a, i), (b, j) = (np.unique(df[c].to_numpy(), return_inverse=True) for c in (left, right))
@@ -192,9 +192,13 @@ def assign(scores: DataFrame, keys: Keys, left: str, right: str, score: str) ->
         np.add.at(square, (i, j), -df[score].to_numpy(float))
         found = [(r, c) for r, c in enumerate(hungarian(square)) if r < len(a) and c < len(b) and square[r, c] < 0]
         rows = pd.DataFrame({left: [a[r] for r, _ in found], right: [b[c] for _, c in found], score: [-square[r, c] for r, c in found]})
+        for c in more:
+            sums = np.zeros((n, n), df[c].dtype)
+            np.add.at(sums, (i, j), df[c].to_numpy())
+            rows[c] = [sums[x] for x in found]
         for k in keys:
             rows[k] = df[k].iloc[0]
-        return rows[[*keys, left, right, score]]
+        return rows[[*keys, left, right, score, *more]]
 
     return scores.groupBy(*keys).applyInPandas(one, schema)
 

@@ -127,9 +127,7 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, keys: Keys, c
     sums = pieces.select(
         *keys, time(n_ref).alias("scored"), time(F.greatest(n_ref - n_hyp, none)).alias("miss"), time(F.greatest(n_hyp - n_ref, none)).alias("false_alarm"), time(F.least(n_ref, n_hyp)).alias("matchable"), none.alias("correct")
     )
-    pairs = pair_times(pieces, keys)
-    mapping = assign(pairs.drop("correct"), keys, "ref", "hyp", "overlap").drop("overlap")
-    right = pairs.join(mapping, [*keys, "ref", "hyp"]).select(*keys, *(none.alias(c) for c in ("scored", "miss", "false_alarm", "matchable")), "correct")
+    right = assign(pair_times(pieces, keys), keys, "ref", "hyp", "overlap", "correct").select(*keys, *(none.alias(c) for c in ("scored", "miss", "false_alarm", "matchable")), "correct")
     out = with_total(sums.unionByName(right), keys, *(F.sum(c).alias(c) for c in ("scored", "miss", "false_alarm", "matchable", "correct")))
     out = out.withColumn("confusion", F.col("matchable") - F.col("correct")).drop("matchable", "correct")
     return out.withColumn("der", ratio(F.col("miss") + F.col("false_alarm") + F.col("confusion"), F.col("scored"), None))
