@@ -281,6 +281,11 @@ def swap_roles(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(F.when(t["role"] == "user", "assistant").when(t["role"] == "assistant", "user").otherwise(t["role"]).alias("role"), t["value"].alias("value")))
 
 
+def placeholders(value: str | list[str] | tuple[str, ...]) -> list[str]:
+    """A setting of one placeholder or several as a list."""
+    return [value] if isinstance(value, str) else list(value)
+
+
 def split_placeholders(text: Column, placeholder: str = "<sound>") -> Column:
     """Parts (type, value) around the first audio placeholder: text before, audio, text after; blank text goes."""
     parts = F.split(text, placeholder, 3)

@@ -42,11 +42,11 @@ def clamped(region: DataFrame, manifest: DataFrame, keys: Keys) -> DataFrame:
     return out.where("start < end").drop("offset", "duration")
 
 
-def error_by_mode(reference: DataFrame, hypothesis: DataFrame, keys: Keys, width, ticks: float = 1.0) -> DataFrame:
+def error_by_mode(reference: DataFrame, hypothesis: DataFrame, keys: Keys, ticks: float = 1.0) -> DataFrame:
     """Diarization error under each preset of collar and overlap: (mode, keys, parts, der). ticks: time units per second."""
     out = None
     for mode, (collar, skip) in DER_MODES.items():
-        one = diarization_error(reference, hypothesis, keys, width, collar * ticks, skip).withColumn("mode", F.lit(mode))
+        one = diarization_error(reference, hypothesis, keys, collar * ticks, skip).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -55,6 +55,13 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 0)
     return df.where(F.col(weight) > 0).orderBy(-F.log(unit_hash(key, seed=seed)) / F.col(weight), key).limit(n)
 
 
+def session_speakers(sessions: DataFrame, permutations: DataFrame, session: str) -> DataFrame:
+    """sessions with the speakers of that row (row 0, 1 ..., speakers) of a table of permutations whose number is the session's modulo the rows."""
+    n = permutations.agg(F.count(F.lit(1)).alias("_n"))
+    numbered = sessions.crossJoin(F.broadcast(n)).withColumn("row", F.pmod(F.col(session), F.col("_n"))).drop("_n")  # one row
+    return numbered.join(permutations, "row").drop("row")
+
+
 def split_by_hash(df: DataFrame, key: str, n_dev: int, seed: int = 0) -> DataFrame:
     """df plus split: dev for the n_dev distinct keys that come first by hash, else train."""
     dev = df.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n_dev).withColumn("split", F.lit("dev"))

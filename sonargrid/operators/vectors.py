@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop_cut
 from .intervals import Keys
 
 
@@ -248,18 +249,20 @@ def cluster_long_sessions(df: DataFrame, session: str, item: str, vector: str, c
 
 
 def graph_components(edges: DataFrame, keys: Keys) -> DataFrame:
-    """(keys, node, component) of edges (i, j) per key, by least-label propagation with pointer jumping until nothing changes."""
-    both = edges.select(*keys, "i", "j").unionByName(edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))).distinct().persist()
-    labels = both.groupBy(*keys, F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("component"))
+    """(keys, node, component) of edges (i, j) per key, by least-label propagation with pointer jumping until nothing changes. Each round is cut to the shared folder."""
+    both = edges.select(*keys, "i", "j").unionByName(edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    both = cut(both, "edges")
+    labels = cut(both.groupBy(*keys, F.col("i").alias("node")).agg(F.least(F.first("i"), F.min("j")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "j"), [*keys, "j"]).groupBy(*keys, F.col("i").alias("node")).agg(F.min("component").alias("m"))
         better = labels.join(near, [*keys, "node"]).select(*keys, "node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         up = labels.select(*keys, F.col("node").alias("c"), F.col("component").alias("u"))
-        new = better.join(up, [*keys, "c"], "left").select(*keys, "node", "old", F.least("c", F.coalesce("u", "c")).alias("component")).persist()
-        changed = new.where("old <> component").limit(1).count()
-        labels = new.drop("old")
-        if not changed:
-            return labels
+        new = cut(better.join(up, [*keys, "c"], "left").select(*keys, "node", "old", F.least("c", F.coalesce("u", "c")).alias("component")), "labels")
+        drop_cut(labels)
+        labels = new
+        if not new.where("old <> component").limit(1).count():
+            drop_cut(both)
+            return labels.drop("old")
 
 
 def stitched_labels(old: DataFrame, new: DataFrame, keys: Keys, item: str) -> DataFrame:

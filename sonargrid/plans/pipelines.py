@@ -23,7 +23,7 @@ def diarize(channels: DataFrame, embeddings: DataFrame, reference: DataFrame, ke
     labels = ve.cluster_sessions(embeddings.join(voiced.select(session, "item"), [session, "item"]), session, "item", "vector", **clustering)
     hypothesis = voiced.join(labels, [session, "item"]).select(session, F.concat(F.lit("speaker_"), "cluster").alias("speaker"), "start", "end")
     hypothesis = iv.merge(hypothesis, [session, "speaker"])
-    return {"speech": speech, "hypothesis": hypothesis, "error": me.diarization_error(reference, hypothesis, keys, width)}
+    return {"speech": speech, "hypothesis": hypothesis, "error": me.diarization_error(reference, hypothesis, keys)}
 
 
 def tune_thresholds(scores: DataFrame, reference: DataFrame, region: DataFrame, keys: list[str], onsets: list[float], offsets: list[float], frame_length: float) -> DataFrame:

@@ -31,3 +31,23 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, rate int, channels array<array<double>>").withColumn("recording", stem(F.col("path")))
+
+
+def wav_bytes(samples: str, rate: int):
+    """A column's samples (-1 ... 1, one channel, or an array of channels) as 16 bit WAV files."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for x in s:
+            channels = np.atleast_2d(np.array([list(c) for c in x], float) if len(x) and not np.isscalar(x[0]) else np.asarray(x, float))
+            sink = io.BytesIO()
+            with wave.open(sink, "wb") as w:
+                w.setnchannels(len(channels))
+                w.setsampwidth(2)
+                w.setframerate(rate)
+                w.writeframes(np.clip(np.round(channels.T * 32768), -32768, 32767).astype("<i2").tobytes())
+            out.append(sink.getvalue())
+        return pd.Series(out)
+
+    return run(samples)

@@ -206,6 +206,71 @@ def sharegpt_turns(df: DataFrame, key: str, conversations: str = "conversations"
     return rows.select(key, "turn", role.alias("role"), F.posexplode(split_placeholders(F.col("t.value"))).alias("part", "p")).select(key, "turn", "part", "role", "p.type", "p.value")
 
 
+def write_files(rows: DataFrame, folder: str, name: str, *order: str, suffix: str = ".txt", before: str = "", between: str = "\n", after: str = "\n") -> DataFrame:
+    """A file of folder for each name with its rows' values, in order: (name, n) of the files written. A file's rows meet in one task; a repeated task writes the same file again."""
+    kind = rows.schema[name].dataType.simpleString()
+
+    def run(key, group):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        files, top = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files.create_dir(top, recursive=True)
+        group = group.sort_by([(c, "ascending") for c in order]) if order else group
+        values = group["value"].to_pylist()
+        with files.open_output_stream(f"{top}/{key[0].as_py()}{suffix}") as f:
+            f.write(b"".join(values) if values and isinstance(values[0], bytes) else (before + between.join(values) + after).encode())
+        return pa.table({name: pa.array([key[0].as_py()], group.schema.field(name).type), "n": pa.array([len(values)], pa.int64())})
+
+    return rows.select(name, "value", *order).groupBy(name).applyInArrow(run, f"`{name}` {kind}, n long")
+
+
+def audio_length(segments: DataFrame, key: str = "file") -> DataFrame:
+    """(key, duration): the last end of a recording's segments."""
+    return segments.groupBy(key).agg(F.max("end").alias("duration"))
+
+
+def item_of_session(manifest: DataFrame, session: str, *paths: str) -> DataFrame:
+    """The first row, in order of its paths, in which any of them has the session as its stem."""
+    same = None
+    for p in paths:
+        one = stem(F.col(p)) == session
+        same = one if same is None else same | one
+    return manifest.where(same).orderBy(*paths).limit(1)
+
+
+def with_speech(manifest: DataFrame, vad: DataFrame, key: str) -> DataFrame:
+    """Sessions of the manifest that have speech of some length; none at all is an error when read."""
+    kept = manifest.join(vad.where("duration > 0").select(key).distinct(), key, "left_semi")
+    found = kept.agg(F.count(F.lit(1)).alias("_n"))
+    return kept.crossJoin(F.broadcast(found)).where(F.when(F.col("_n") > 0, True).otherwise(F.raise_error(F.lit("no session has speech")).cast("boolean"))).drop("_n")  # one row
+
+
+def ranges_in_order(df: DataFrame) -> DataFrame:
+    """(ordered): whether every range's end is at or after its start; true without rows."""
+    return df.agg(F.coalesce(F.bool_and(F.col("start") <= F.col("end")), F.lit(True)).alias("ordered"))
+
+
+def with_predictions(manifest: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """The manifest with pred_text, empty where there is no prediction."""
+    return manifest.join(predictions.select(key, F.col("text").alias("pred_text")), key, "left").na.fill("", ["pred_text"])
+
+
+def supervisions(hypothesis: DataFrame, reference: DataFrame, key: str, durations: DataFrame | None = None) -> DataFrame:
+    """Segments of both sides of the sessions that both have: (key, side, speaker, start, end); a hypothesis ends with the audio (key, duration)."""
+    both = hypothesis.select(key).distinct().join(reference.select(key).distinct(), key)
+    hyp = hypothesis.select(key, F.lit("hypothesis").alias("side"), "speaker", "start", "end")
+    if durations is not None:
+        hyp = hyp.join(durations.select(key, "duration"), key, "left").withColumn("end", F.least("end", F.coalesce("duration", "end"))).where("start < end").drop("duration")
+    return hyp.unionByName(reference.select(key, F.lit("reference").alias("side"), "speaker", "start", "end")).join(both, key, "left_semi")
+
+
+def audio_pairs(pairs: DataFrame, audio: DataFrame) -> DataFrame:
+    """Labelled pairs (audio_1, audio_2, label) with the duration of both files; pairs with an unknown file go."""
+    side = lambda n: audio.select(F.col("audio_filepath").alias(f"audio_{n}"), F.col("duration").alias(f"duration_{n}"))
+    return pairs.join(side(1), "audio_1").join(side(2), "audio_2")
+
+
 READERS: dict[str, object] = {}
 
 
@@ -243,11 +308,91 @@ def _text_source(spark: SparkSession, entry: dict) -> DataFrame:
     return spark.read.text(entry["paths"]).select(F.col("value").alias("text"), F.lit(entry.get("language")).alias("lang"))
 
 
-@source_type("txt_jsonl", "sft_jsonl", "conversation_jsonl", "share_gpt", "json")
+@source_type("txt_jsonl", "json")
 def _json_source(spark: SparkSession, entry: dict) -> DataFrame:
     return spark.read.json(entry["paths"])
 
 
+SFT = "system STRING, mask STRING, type STRING, conversations ARRAY<STRUCT<from: STRING, value: STRING>>"
+CONVERSATION = "id STRING, conversations ARRAY<STRUCT<from: STRING, type: STRING, value: STRING, duration: DOUBLE, offset: DOUBLE>>"
+
+
+def sft_turns(df: DataFrame, key: str) -> DataFrame:
+    """Instruction rows (system, mask, conversations of (from, value)) to (key, turn, role, value): the system text first if there is any; who is masked is the user."""
+    said = F.transform("conversations", lambda t: F.struct(F.when(t["from"] == F.coalesce("mask", F.lit("User")), "user").otherwise("assistant").alias("role"), t["value"].alias("value")))
+    system = F.when(F.trim(F.coalesce("system", F.lit(""))) != "", F.array(F.struct(F.lit("system").alias("role"), F.col("system").alias("value")))).otherwise(F.expr("cast(array() as array<struct<role: string, value: string>>)"))
+    return df.select(key, F.posexplode(F.concat(system, said)).alias("turn", "t")).select(key, "turn", "t.*")
+
+
+def conversation_parts(df: DataFrame, key: str, folder: str = "", locator: str = "[audio]") -> DataFrame:
+    """Conversations of (from, type, value, duration, offset) to (key, turn, role, type, text, audio, offset, duration): an audio turn's value is its path, its text the locator."""
+    rows = df.select(key, F.posexplode("conversations").alias("turn", "t"))
+    audio = F.lower("t.type") == "audio"
+    return rows.select(
+        key, "turn", F.lower("t.from").alias("role"), F.lower("t.type").alias("type"), F.when(audio, F.lit(locator)).otherwise(F.col("t.value")).alias("text"),
+        F.when(audio, resolved(F.col("t.value"), folder) if folder else F.col("t.value")).alias("audio"), F.when(audio, F.coalesce("t.offset", F.lit(0.0))).alias("offset"), F.when(audio, F.col("t.duration")).alias("duration"),
+    )
+
+
+@source_type("sft_jsonl", "nemo_sft_jsonl")
+def _sft_source(spark: SparkSession, entry: dict) -> DataFrame:
+    df = spark.read.schema(SFT).json(entry["paths"])
+    return sft_turns(df.withColumn("example", F.monotonically_increasing_id()), "example")
+
+
+@source_type("conversation_jsonl", "multimodal_conversation")
+def _conversation_source(spark: SparkSession, entry: dict) -> DataFrame:
+    return conversation_parts(spark.read.schema(CONVERSATION).json(entry["paths"]), "id", entry.get("audio_root", ""), entry.get("audio_locator_tag", "[audio]"))
+
+
+SHARE_GPT = "id STRING, sound STRING, duration DOUBLE, conversations ARRAY<STRUCT<from: STRING, value: STRING>>"
+
+
+@source_type("share_gpt")
+def _share_gpt_source(spark: SparkSession, entry: dict) -> DataFrame:
+    df = spark.read.schema(SHARE_GPT).json(entry["paths"])
+    return sharegpt_turns(df, "id").join(df.select("id", "sound", "duration"), "id").withColumns({c: F.when(F.col("type") == "audio", F.col(c)) for c in ("sound", "duration")})
+
+
+@source_type("share_gpt_webdataset")
+def _share_gpt_archives(spark: SparkSession, entry: dict) -> DataFrame:
+    """Archives with a JSON and an audio member for each sample: turns with the audio's bytes."""
+    from .tar import pairs_of_members, read_tar
+
+    samples = pairs_of_members(read_tar(spark, entry["data_dir"]), entry.get("suffix", ".wav"))
+    rows = samples.withColumn("s", F.from_json("json", SHARE_GPT)).select("archive", "sample", "data", "s.conversations")
+    turns = sharegpt_turns(rows.select(F.struct("archive", "sample").alias("k"), "conversations"), "k").select("k.*", "turn", "part", "role", "type", "value")
+    return turns.join(rows.select("archive", "sample", "data"), ["archive", "sample"]).withColumn("data", F.when(F.col("type") == "audio", F.col("data")))
+
+
+def numbered_lines(spark: SparkSession, paths) -> DataFrame:
+    """(file, line, text) of text files: file counts the paths in the order given, line from 0. A file is read whole, by one task."""
+    out = None
+    for i, path in enumerate([paths] if isinstance(paths, str) else paths):
+        whole = spark.read.text(path, wholetext=True)
+        one = whole.select(F.lit(i).alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@source_type("txt_pair")
+def _pair_source(spark: SparkSession, entry: dict) -> DataFrame:
+    """Lines of source and target files of one number: (file, line, source, target, their languages)."""
+    a, b = (numbered_lines(spark, entry[f"{side}_paths"]).withColumnRenamed("text", side) for side in ("source", "target"))
+    return a.join(b, ["file", "line"]).withColumns({f"{side}_lang": F.lit(entry.get(f"{side}_language")) for side in ("source", "target")})
+
+
+CUT = "id STRING, start DOUBLE, duration DOUBLE, channel INT, supervisions ARRAY<STRUCT<id: STRING, start: DOUBLE, duration: DOUBLE, speaker: STRING, text: STRING, language: STRING>>, recording STRUCT<id: STRING, sampling_rate: INT, duration: DOUBLE>"
+
+
+@source_type("cuts", "lhotse")
+def _cut_source(spark: SparkSession, entry: dict) -> DataFrame:
+    """Cut manifests (JSON lines, gzipped or not) as one row per supervision on the recording's axis; a cut without one keeps a row."""
+    df = spark.read.schema(CUT).json(entry["cuts_path"])
+    rows = df.select(F.col("id").alias("cut"), F.col("recording.id").alias("recording"), "start", "duration", F.explode_outer("supervisions").alias("s"))
+    return rows.select("cut", "recording", "duration", (F.col("start") + F.coalesce("s.start", F.lit(0.0))).alias("start"), F.coalesce("s.duration", "duration").alias("length"), "s.speaker", "s.text", "s.language")
+
+
 def read_sources(spark: SparkSession, config: list[dict]) -> DataFrame:
     """Union of a nested source configuration, tags passed down to the rows."""
     from ..operators.sampling import combine

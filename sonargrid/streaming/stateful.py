@@ -1,4 +1,5 @@
-"""Streaming versions of the incremental operators: each takes a streaming or a batch DataFrame and gives the same rows for either."""
+"""Incremental operators. Those named *_stream, online_* and stitched_tokens keep state by stream and run on streaming DataFrames; windowed_counts and sessions take
+streaming or batch ones; the others are the batch definitions that tests hold the streams against."""
 
 from __future__ import annotations
 
@@ -86,7 +87,7 @@ def stitched_tokens(chunks: DataFrame, stream: str, limit: int = 8) -> DataFrame
 
     State per stream: the last limit tokens and the count. Chunks must arrive in order within a stream; those of one trigger are sorted.
     """
-    schema = f"`{stream}` long, chunk long, added array<int>, total long"
+    schema = f"`{stream}` {kind_of(chunks, stream)}, chunk long, added array<int>, total long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tail, total = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
@@ -102,29 +103,139 @@ def stitched_tokens(chunks: DataFrame, stream: str, limit: int = 8) -> DataFrame
     return chunks.groupBy(stream).applyInPandasWithState(step, schema, "tail array<int>, total long", "append", GroupStateTimeout.NoTimeout)
 
 
-def online_segments(labels: DataFrame, stream: str, gap: float) -> DataFrame:
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def by_stream(df: DataFrame, stream: str, order: list[str], handle, out: str, state: str, idle: float | None) -> DataFrame:
+    """handle(state or None, rows in order, closing) -> (rows, state) per stream, over micro-batches. With idle, a stream without rows for so many seconds is closed: handle
+    gets no rows, and its state goes."""
+    kind, names = kind_of(df, stream), [stream, *(c.split()[0].strip("`") for c in out.split(", "))]
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        before = tuple(group.get) if group.exists else None
+        if group.hasTimedOut:
+            found, _ = handle(before, pd.DataFrame(columns=[*order]), True)
+            group.remove()
+        else:
+            found, after = handle(before, pd.concat(list(batches)).sort_values(order), False)
+            if after is not None:
+                group.update(after)
+                if idle is not None:
+                    group.setTimeoutDuration(int(idle * 1000))
+        yield pd.DataFrame([(key[0], *r) for r in found], columns=names)
+
+    return df.groupBy(stream).applyInPandasWithState(step, f"`{stream}` {kind}, {out}", state, "append", timeout)
+
+
+def framed_stream(chunks: DataFrame, stream: str, size: int, idle: float | None = None) -> DataFrame:
+    """Chunks of samples (stream, chunk, samples: array<double>, last) to frames (stream, frame, samples, length, is_first, is_last), as framed gives them.
+
+    State per stream: up to size samples and the next frame's number. A frame is held until a sample follows it or the stream ends: by its chunk marked
+    last, or after idle seconds.
+    """
+
+    def handle(before, rows, closing):
+        rest, frame = (list(before[0]), before[1]) if before else ([], 0)
+        found, ended = [], closing
+        for row in rows.itertuples():
+            rest += [float(x) for x in row.samples]
+            ended |= bool(row.last)
+            while len(rest) > size:
+                found.append((frame, rest[:size], size, frame == 0, False))
+                rest, frame = rest[size:], frame + 1
+        if ended and rest:
+            found.append((frame, rest, len(rest), frame == 0, True))
+            rest, frame = [], frame + 1
+        return found, (rest, frame)
+
+    return by_stream(chunks, stream, ["chunk"], handle, "frame long, samples array<double>, length int, is_first boolean, is_last boolean", "rest array<double>, frame long", idle)
+
+
+def buffered_stream(frames: DataFrame, stream: str, n: int) -> DataFrame:
+    """Frames (stream, frame, samples) to (stream, frame, buffer): the samples of the last n frames joined, as rolling_buffer gives them. State: n - 1 frames."""
+
+    def handle(before, rows, closing):
+        flat, sizes = (list(before[0]), list(before[1])) if before else ([], [])
+        found = []
+        for row in rows.itertuples():
+            flat, sizes = flat + [float(x) for x in row.samples], [*sizes, len(row.samples)]
+            while len(sizes) > n:
+                flat, sizes = flat[sizes[0] :], sizes[1:]
+            found.append((int(row.frame), list(flat)))
+        return found, (flat, sizes)
+
+    return by_stream(frames, stream, ["frame"], handle, "frame long, buffer array<double>", "flat array<double>, sizes array<int>", None)
+
+
+def endpoints_stream(tokens: DataFrame, stream: str, stop: int) -> DataFrame:
+    """Utterance ends of token streams (stream, step) as they come, as endpoints gives them: (stream, eou). State: the last step."""
+
+    def handle(before, rows, closing):
+        last, found = (before[0] if before else None), []
+        for step in rows["step"].tolist():
+            if last is not None and step - last - 1 > stop:
+                found.append((int(last) + 1 + stop // 2,))
+            last = step
+        return found, (int(last),)
+
+    return by_stream(tokens, stream, ["step"], handle, "eou long", "last long", None)
+
+
+def online_segments(labels: DataFrame, stream: str, gap: float, idle: float | None = None) -> DataFrame:
     """Speech intervals (stream, start, end) arriving in order, merged as they come: closed segments (stream, start, end) once a later one begins beyond gap.
 
-    State per stream: the open segment. A late interval that reaches into it replaces its bounds; the last one stays open.
+    State per stream: the open segment. A late interval that reaches into it replaces its bounds. The last one is closed after idle seconds without
+    rows, or stays open.
     """
-    schema = f"`{stream}` long, start double, end double"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = list(state.get) if state.exists else None
-        out = []
-        for row in pd.concat(list(batches)).sort_values(["start", "end"]).itertuples():
-            if current is None:
-                current = [float(row.start), float(row.end)]
-            elif row.start <= current[1] + gap:
+    def handle(before, rows, closing):
+        current, found = list(before) if before else None, []
+        for row in rows.itertuples():
+            if current is not None and row.start <= current[1] + gap:
                 current = [min(current[0], float(row.start)), max(current[1], float(row.end))]
             else:
-                out.append((key[0], *current))
+                if current is not None:
+                    found.append(tuple(current))
                 current = [float(row.start), float(row.end)]
-        if current is not None:
-            state.update(tuple(current))
-        yield pd.DataFrame(out, columns=[stream, "start", "end"])
+        if closing and current is not None:
+            found.append(tuple(current))
+        return found, tuple(current) if current else None
+
+    return by_stream(labels, stream, ["start", "end"], handle, "start double, end double", "start double, end double", idle)
+
+
+def online_windows(labels: DataFrame, stream: str, gap: float, window: float, shift: float, idle: float | None = None) -> DataFrame:
+    """Windows (stream, start, duration) of new speech as intervals (stream, start, end) come in order: those of sliding_windows over the merged segments.
+
+    State per stream: the open segment and the cursor, the start of its next window. A window goes out when speech has passed its end; a segment's last window,
+    which ends with it, when the segment is closed by a later one or after idle seconds.
+    """
+
+    def handle(before, rows, closing):
+        current, found = list(before) if before else None, []
+
+        def close() -> None:
+            start, end, cursor = current
+            if end > cursor or cursor == start:
+                found.append((cursor, end - cursor))
+
+        for row in rows.itertuples():
+            if current is not None and row.start <= current[1] + gap:
+                current[1] = max(current[1], float(row.end))
+            else:
+                if current is not None:
+                    close()
+                current = [float(row.start), float(row.end), float(row.start)]
+            while current[2] + window < current[1]:
+                found.append((current[2], window))
+                current[2] += shift
+        if closing and current is not None:
+            close()
+        return found, tuple(current) if current else None
 
-    return labels.groupBy(stream).applyInPandasWithState(step, schema, "start double, end double", "append", GroupStateTimeout.NoTimeout)
+    return by_stream(labels, stream, ["start", "end"], handle, "start double, duration double", "start double, end double, cursor double", idle)
 
 
 def online_clusters(embeddings: DataFrame, stream: str, vector: str, threshold: float = 0.5, most: int = 8) -> DataFrame:
@@ -132,7 +243,7 @@ def online_clusters(embeddings: DataFrame, stream: str, vector: str, threshold:
 
     State per stream: centres (sums of unit vectors, flat) and their sizes, bounded by most.
     """
-    schema = f"`{stream}` long, item long, cluster int"
+    schema = f"`{stream}` {kind_of(embeddings, stream)}, item long, cluster int"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flat, width = (np.array(state.get[0], float), state.get[1]) if state.exists else (np.zeros(0), 0)

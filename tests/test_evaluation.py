@@ -22,7 +22,7 @@ def test_clamp_and_modes(spark):
     assert sorted((r["file"], r["start"], r["end"]) for r in ev.clamped(region, manifest, ["file"]).collect()) == [("f", 2.0, 7.0), ("g", 0.0, 5.0)]
     ref = spark.createDataFrame([("f", "A", 0.0, 10.0), ("f", "B", 10.0, 20.0)], "file string, speaker string, start double, end double")
     hyp = spark.createDataFrame([("f", "x", 0.0, 12.0), ("f", "y", 12.0, 20.0)], "file string, speaker string, start double, end double")
-    out = {r["mode"]: r["der"] for r in ev.error_by_mode(ref, hyp, ["file"], 5).where("file = 'f'").collect()}
+    out = {r["mode"]: r["der"] for r in ev.error_by_mode(ref, hyp, ["file"]).where("file = 'f'").collect()}
     assert out["full"] == pytest.approx(0.1) and out["fair"] == out["forgiving"] == pytest.approx(1.75 / 19)
 
 
