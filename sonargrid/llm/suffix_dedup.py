@@ -3,10 +3,11 @@
 A passage of SPAN bytes that repeats must be met in one task with its earlier occurrence, without moving the corpus there:
 
 1. Anchors. In every string of SPAN bytes the GRAM-byte gram of least hash is an anchor, so equal strings have the same anchor at the
-   same place. About one byte in 40 is one. Anchors shuffle by hash as packed arrays; those that occur once go.
+   same place. About one byte in 40 is one. Anchors shuffle by hash as packed arrays; those that occur once go. Of anchors that repeat within a batch
+   one is shuffled, the others are known to repeat.
 2. Contexts. The strings that have one anchor are those that start within a few bytes: together they are its context, about 140 bytes. Hashes of the
-   contexts of anchors that repeat shuffle by anchor. Equal contexts of an anchor are reduced to their first occurrence, the others are removed
-   whole; where an anchor has several contexts, the bytes of each are fetched from its document, once.
+   contexts of anchors that repeat (128 bits) shuffle by anchor. Equal contexts of an anchor are reduced to their first occurrence, within each task before the
+   shuffle and then over all; the others are removed whole. Where an anchor has several contexts, the bytes of each are fetched from its document, once.
 3. Index. A task sorts the suffixes of its contexts, forms the Burrows-Wheeler transform and its runs, and takes the match length of
    each run's first suffix with the suffix before it. These samples at run ends are all that is measured: streaming over the text, every other
    match length follows from the last sample (it falls by one a byte). Suffixes joined by matches of SPAN bytes or more are one string; all but its
@@ -17,9 +18,11 @@ A passage of SPAN bytes that repeats must be met in one task with its earlier oc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +38,7 @@ SLICE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 DOC = np.dtype([("doc", "<i8"), ("hash", "<i4")])
 ANCHORS = {"keys": np.dtype("<u8"), "at": np.dtype("<u4"), "lead": np.dtype("u1"), "more": np.dtype("u1")}
-HASHES = {"keys": np.dtype("<u8"), "digest": np.dtype("<u8"), "at": np.dtype("<u4"), "size": np.dtype("<u2")}
+HASHES = {"keys": np.dtype("<u8"), "digest": np.dtype("<u8"), "second": np.dtype("<u8"), "at": np.dtype("<u4"), "size": np.dtype("<u2")}
 SPANS = {"keys": np.dtype("<u8"), "at": np.dtype("<u4"), "stop": np.dtype("<u4")}
 TEXTS = {"keys": np.dtype("<u8"), "at": np.dtype("<u4"), "size": np.dtype("<u2"), "bytes": np.dtype("u1")}
 
@@ -62,6 +65,12 @@ class Roll:
         np.cumsum(self.letter[data] * self.up[: len(data)], out=out[1:])
         return out
 
+    def other(self, seed: int) -> Roll:
+        """The same powers for other letters."""
+        out = copy(self)
+        out.letter = np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64) | np.uint64(1)
+        return out
+
     def windows(self, data: np.ndarray, width: int) -> np.ndarray:
         s = self.sums(data)
         return scramble((s[width:] - s[:-width]) * self.down[: len(s) - width])
@@ -238,30 +247,35 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(size.sum())) + np.repeat(start - total, size)]
 
 
-def digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of each span of data; starts ascend."""
-    out = np.empty(len(start), np.uint64)
+def digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each span of data; starts ascend."""
+    out, second = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(start, start[at] + CHUNK, "left")))
         low, high = start[at], int((start[at:to] + size[at:to]).max())
-        out[at:to] = roll(max(high - low, CHUNK + SPAN)).spans(data[low:high], start[at:to] - low, start[at:to] - low + size[at:to])
+        r = roll(max(high - low, CHUNK + SPAN))
+        span = data[low:high], start[at:to] - low, start[at:to] - low + size[at:to]
+        out[at:to], second[at:to] = r.spans(*span), r.other(21).spans(*span)
         at = to
-    return out
+    return out, second
 
 
-def compare(keys: np.ndarray, digest: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts that repeat an earlier one whole, first occurrences of the contexts of anchors that have several).
-
-    number: occurrence number; rows that repeat one are no copies.
-    """
-    order = np.lexsort((number, digest, keys))
-    k, d = keys[order], digest[order]
+def distinct(keys: np.ndarray, digest: np.ndarray, second: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts that repeat an earlier one of their anchor whole, first occurrences, by anchor). number: occurrence number; rows that repeat one are no copies."""
+    order = np.lexsort((number, second, digest, keys))
     fresh = np.ones(len(order), bool)
-    fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (keys, digest, second):
+        same &= x[order][1:] == x[order][:-1]
+    fresh[1:] = ~same
     owner = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
-    copies = order[~fresh & (number[owner] != number[order])]
-    firsts = order[fresh]
+    return order[~fresh & (number[owner] != number[order])], order[fresh]
+
+
+def compare(keys: np.ndarray, digest: np.ndarray, second: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts that repeat an earlier one whole, first occurrences of the contexts of anchors that have several)."""
+    copies, firsts = distinct(keys, digest, second, number)
     head = np.flatnonzero(np.append(True, keys[firsts][1:] != keys[firsts][:-1])) if len(firsts) else np.zeros(0, np.int64)
     count = np.diff(np.append(head, len(firsts)))
     return copies, firsts[np.repeat(count > 1, count)]
@@ -333,15 +347,18 @@ def deal(part: np.ndarray, docs: np.ndarray, doc: np.ndarray, columns: dict[str,
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if c in ("part", "kind") else pa.binary()) for c, x in out.items()], list(out))
 
 
-def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    """As doc_part() computes it."""
-    mixed = doc ^ (doc >> 15) ^ (doc >> 32)
-    return mixed % parts
+MIX = 0x9E3779B1
+
+
+def part_of(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each of these DOC entries, as doc_part() computes it: rows without an id are dealt by text."""
+    doc = docs["doc"]
+    return (doc ^ (doc >> 15) ^ (doc >> 32) ^ (docs["hash"].astype(np.int64) * MIX)) % parts
 
 
 def doc_part(parts: int) -> Column:
-    doc = F.col("doc")
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 15)).bitwiseXOR(F.shiftright(doc, 32)), F.lit(parts)).cast("int")
+    doc, mixed = F.col("doc"), F.col("hash").cast("long") * F.lit(MIX)
+    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 15)).bitwiseXOR(F.shiftright(doc, 32)).bitwiseXOR(mixed), F.lit(parts)).cast("int")
 
 
 def doc_table(rows) -> np.ndarray:
@@ -351,28 +368,46 @@ def doc_table(rows) -> np.ndarray:
     return out
 
 
+#: Kinds of anchors: single in their batch, one of several in their batch, known to repeat.
+SINGLE, SEVERAL, KNOWN = 0, 1, 2
+
+
 def find_anchors(parts: int, span: int, gram: int):
+    """Texts to anchors: by key one of each in the batch, and by document all that repeat in the batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
             data, offs = bytes_of(batch.column("text"))
             at, keys, first, last = anchors(data, offs, span, gram)
             doc = np.searchsorted(offs, at, "right") - 1
-            yield deal((keys % np.uint64(parts)).astype(np.int64), doc_table(batch), doc, {"keys": keys, "at": at - offs[doc], "lead": at - first, "more": last - first}, ANCHORS)
+            of = {"keys": keys, "at": at - offs[doc], "lead": at - first, "more": last - first}
+            docs = doc_table(batch)
+            _, one, times = np.unique(keys, return_index=True, return_counts=True)
+            often = np.ones(len(keys), bool)
+            often[one[times == 1]] = False
+            for kind, rows in ((SINGLE, one[times == 1]), (SEVERAL, one[times > 1]), (KNOWN, np.flatnonzero(often))):
+                part = part_of(docs[doc[rows]], parts) if kind == KNOWN else (keys[rows] % np.uint64(parts)).astype(np.int64)
+                yield deal(part, docs, doc[rows], {c: x[rows] for c, x in of.items()}, ANCHORS, kind)
 
     return run
 
 
 def keep_repeated(parts: int):
+    """Anchors of one key part, single in their batch, that other batches have too; those known to repeat, of the documents' part of that number, go on."""
+
     def run(rows: pa.Table) -> pa.Table:
-        p = Parts(rows, ANCHORS)
-        keys = p.of["keys"]
+        kind = rows["kind"].to_numpy()
+        p = Parts(rows.filter(pa.array(kind != KNOWN)), ANCHORS)
+        keys, single = p.of["keys"], np.repeat(kind[kind != KNOWN] == SINGLE, [len(x) // 8 for x in rows.filter(pa.array(kind != KNOWN))["keys"].to_pylist()])
         order = np.argsort(keys)
         same = keys[order][1:] == keys[order][:-1]
         often = np.zeros(len(keys), bool)
         often[order[1:][same]] = True
         often[order[:-1][same]] = True
+        often &= single
         doc = p.doc[often]
-        return pa.Table.from_batches([deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {c: x[often] for c, x in p.of.items()}, ANCHORS)])
+        found = deal(part_of(p.docs[doc], parts), p.docs, doc, {c: x[often] for c, x in p.of.items()}, ANCHORS)
+        return pa.concat_tables([pa.Table.from_batches([found]), rows.filter(pa.array(kind == KNOWN)).cast(found.schema)])
 
     return run
 
@@ -389,7 +424,12 @@ def located(docs: pa.Table, parts: Parts) -> tuple[np.ndarray, np.ndarray, np.nd
     return data, offs, row, number
 
 
+MARK, FETCH, CONTEXT = 0, 1, 2
+
+
 def hash_contexts(parts: int, span: int):
+    """Anchors of documents to hashes of their contexts, of equal ones within the part the first (rows of kind CONTEXT), and the spans of the others (kind MARK; second holds their stops)."""
+
     def run(key, docs: pa.Table, rows: pa.Table) -> pa.Table:
         p = Parts(rows, ANCHORS)
         data, offs, row, _ = located(docs, p)
@@ -397,29 +437,35 @@ def hash_contexts(parts: int, span: int):
         size = p.of["more"] + span
         start = offs[row[p.doc]] + at
         order = np.argsort(start)
-        digest = np.empty(len(start), np.uint64)
-        digest[order] = digests(data, start[order], size[order])
+        digest, second = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+        digest[order], second[order] = digests(data, start[order], size[order])
         keys = p.of["keys"]
-        return pa.Table.from_batches([deal((keys % np.uint64(parts)).astype(np.int64), p.docs, p.doc, {"keys": keys, "digest": digest, "at": at, "size": size}, HASHES)])
+        copies, firsts = distinct(keys, digest, second, p.doc * (1 << 40) + at)
+        of = {"keys": keys, "digest": digest, "second": second, "at": at, "size": size}
+        sent = deal((keys[firsts] % np.uint64(parts)).astype(np.int64), p.docs, p.doc[firsts], {c: x[firsts] for c, x in of.items()}, HASHES, CONTEXT)
+        doc, begin, stop = merged(p.doc[copies], at[copies], at[copies] + size[copies])
+        none = np.zeros(len(doc), np.int64)
+        marks = deal(part_of(p.docs[doc], parts), p.docs, doc, {"keys": none, "digest": none, "second": stop, "at": begin, "size": none}, HASHES, MARK)
+        return pa.Table.from_batches([sent, marks])
 
     return run
 
 
-MARK, FETCH = 0, 1
-
-
 def compare_contexts(parts: int):
     """Rows of kind MARK: spans that repeat an earlier context. Of kind FETCH: contexts whose bytes are needed."""
 
     def run(rows: pa.Table) -> pa.Table:
-        p = Parts(rows, HASHES)
+        marked = pa.compute.equal(rows["kind"], MARK)
+        p = Parts(rows.filter(pa.compute.invert(marked)), HASHES)
         at, size = p.of["at"], p.of["size"]
-        copies, wanted = compare(p.of["keys"], p.of["digest"], p.doc * (1 << 40) + at)
+        copies, wanted = compare(p.of["keys"], p.of["digest"], p.of["second"], p.doc * (1 << 40) + at)
         doc, start, stop = merged(p.doc[copies], at[copies], at[copies] + size[copies])
-        marks = deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {"keys": np.zeros(len(doc), np.uint64), "at": start, "stop": stop}, SPANS, MARK)
+        marks = deal(part_of(p.docs[doc], parts), p.docs, doc, {"keys": np.zeros(len(doc), np.uint64), "at": start, "stop": stop}, SPANS, MARK)
         doc = p.doc[wanted]
-        fetch = deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {"keys": p.of["keys"][wanted], "at": at[wanted], "stop": at[wanted] + size[wanted]}, SPANS, FETCH)
-        return pa.Table.from_batches([marks, fetch])
+        fetch = deal(part_of(p.docs[doc], parts), p.docs, doc, {"keys": p.of["keys"][wanted], "at": at[wanted], "stop": at[wanted] + size[wanted]}, SPANS, FETCH)
+        q = Parts(rows.filter(marked), HASHES)  # marks of this part's documents, from before the shuffle
+        local = deal(part_of(q.docs[q.doc], parts), q.docs, q.doc, {"keys": q.of["keys"], "at": q.of["at"], "stop": q.of["second"].astype(np.int64)}, SPANS, MARK)
+        return pa.Table.from_batches([marks, fetch, local])
 
     return run
 
@@ -442,7 +488,7 @@ def index_contexts(parts: int, span: int):
         context, inside = repeated_strings(p.of["keys"], p.doc * (1 << 40) + at, p.of["bytes"], p.of["size"], span)
         start = at[context] + inside
         doc, start, stop = merged(p.doc[context], start, start + span)
-        return pa.Table.from_batches([deal(part_of(p.docs["doc"][doc], parts), p.docs, doc, {"keys": np.zeros(len(doc), np.uint64), "at": start, "stop": stop}, SPANS, MARK)])
+        return pa.Table.from_batches([deal(part_of(p.docs[doc], parts), p.docs, doc, {"keys": np.zeros(len(doc), np.uint64), "at": start, "stop": stop}, SPANS, MARK)])
 
     return run
 
