@@ -74,7 +74,8 @@ class Bpe:
             texts = texts.combine_chunks()
         n = len(texts)
         data, offs = bytes_of(texts)
-        begins = np.unique(np.concatenate([offs[:-1], seams(data, offs)]))
+        begins = np.sort(np.concatenate([offs[:-1], seams(data, offs)]), kind="stable")
+        begins = begins[np.diff(begins, prepend=-1) > 0]
         begins = begins[begins < offs[-1]]  # empty texts have no segment
         cuts = np.append(begins, offs[-1])
         pieces = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(cuts.astype(np.int64).tobytes()), pa.py_buffer(data)])
