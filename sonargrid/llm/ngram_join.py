@@ -42,8 +42,6 @@ CHUNK = 512
 FOLDED = 128
 #: Members of a block whose pairs are all tested at once.
 FEW = 8
-#: Turns in which larger blocks name closest pairs only, before all that is still apart is tested.
-CLOSEST_TURNS = 2
 #: Pairs that share one copy of their first text.
 FAN = 256
 FOUND = "kind int, a long, b long, n long, data binary"
@@ -503,22 +501,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # all other pairs within blocks, of different components
     block = found.where(f"kind = {BUCKET}").select(F.xxhash64("data").alias("block"), "data").dropDuplicates(["block"])
     member = cut(block.mapInArrow(members, "block long, node long"), "members")
-    for whole in (*[False] * CLOSEST_TURNS, True):
+    whole, linked = False, links.count()
+    while True:
         labelled = cut(member.join(label, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component")), "labelled")
         dealt = cut(tiles(labelled, whole, chunk), "tiles")
         described_members = dealt.join(groups.select(F.col("class_id").alias("node"), "n", F.col("short").alias("sketch")), "node")
         compared = described_members.groupBy("block", "low", "high").agg(F.collect_list(F.struct("chunk", "node", "component", "n", "sketch")).alias("members"))
         late = cut(compared.mapInArrow(cross_pairs(whole), "a long, b long").distinct(), "crossed")
-        if late.limit(1).count():
+        tested, before = late.count(), linked
+        if tested:
             texts = texts_of(late)
             links, label = joined(links, label, link(late, texts))
+            linked = links.count()
             drop_cut(texts)
         more = cut(member.join(dealt.where("more").select("block").distinct(), "block", "left_semi"), "members")
         for old in (labelled, dealt, late, member):
             drop_cut(old)
         member = more
-        if not member.limit(1).count():
+        if whole or not member.limit(1).count():
             break
+        # where most closest pairs link, as in a group of copies, they are named again: each such turn halves the components; then what is still apart is tested whole
+        whole = 2 * (linked - before) < tested
     drop_cut(member)
     first = groups.select("class_id", "first_id")
     by_doc = links.join(first.withColumnsRenamed({"class_id": "a", "first_id": "fa"}), "a").join(first.withColumnsRenamed({"class_id": "b", "first_id": "fb"}), "b")
