@@ -1,4 +1,4 @@
-"""What the operators of this package share: the cluster's shared folder, lineage cuts, skew-safe joins, byte columns.
+"""What the operators of this package share: lineage cuts in the cluster's shared folder, skew-safe joins, byte columns.
 
 Nothing here collects rows; the only values that reach the driver are counts and file listings.
 """
@@ -6,9 +6,6 @@ Nothing here collects rows; the only values that reach the driver are counts and
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop_cut, fresh_path
+
+__all__ = ["arrow_batches", "ascii_lower", "bytes_of", "clash_free", "cut", "drop_cut", "fresh_path", "give_back", "id_filter", "join_groups", "maybe_in", "slices", "table", "without_ids"]
+
 try:
     LIBC = ctypes.CDLL("libc.so.6")
     LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: large arrays go back to the system when freed
@@ -30,38 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"sonargrid-{spark.sparkContext.applicationId}")
-        os.makedirs(found, exist_ok=True)
-        found = f"file://{found}"
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "snappy").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sonargrid_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a cut that nothing reads any more."""
-    path = getattr(df, "_sonargrid_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty. Texts without other letters take the fast path."""
     text = F.coalesce(text, F.lit(""))
