@@ -289,7 +289,7 @@ def shards_of_ranks(spark, sf_dir):
     return spark.createDataFrame(rows, "path string, rank int")
 
 
-@query("SELECT vec_id::VARCHAR AS recording, 8000 AS rate, i::INT AS place, round(least(greatest(round_even(embedding[i + 1]::DOUBLE / 4 * 32768, 0), -32768), 32767) / 32768, 9) AS sample FROM embeddings, range(0, 32) t(i)")
+@query("SELECT vec_id::VARCHAR AS recording, 8000 AS rate, i::INT AS place, round(least(greatest(round_even(embedding[i + 1]::DOUBLE / 4 * 32768, 0), -32768), 32767) / 32768, 9) + 0.0 AS sample FROM embeddings, range(0, 32) t(i)")
 def wav_round_trip(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     half = lambda sign: F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double") / 4 * sign)
