@@ -595,3 +595,36 @@ def test_training_sample_skips_what_does_not_fit(spark):
     assert len(out["en"]) == 40 and sum(map(len, out["en"])) <= 3000 and len(out["fr"]) == 1
     assert {t.decode() for t in out["en"]} == {r[1] for r in rows[:40]}
     assert {k: len(v) for k, v in language_id.training_sample(docs).items()} == {"en": 50, "fr": 1}
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd_docs, no_docs):
+    """Every stage takes an empty table and one with nulls, repeated rows and more columns, and keeps the columns of documents."""
+    import corpus_pipeline
+
+    for docs in (no_docs, odd_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            n = out.count()
+            assert n == 0 if docs is no_docs else n > 0, name
+
+
+def test_media_and_packing_ignore_other_columns(spark, odd_docs):
+    names = ("media", "n_bytes", "path", "size", "members", "piece", "start", "length", "turn", "group", "sequence_id", "ids")
+    plain, clashed = ([tuple(r) for r in packing.packed_digests(d).select("doc_id", "piece", "start", "length", "ids_crc32").collect()] for d in (odd_docs, clashing(odd_docs, *names)))
+    assert sorted(map(str, plain)) == sorted(map(str, clashed))
+    assert media.read_media(spark, media.write_media(clashing(odd_docs, *names))).count() == odd_docs.count()
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes beside short ones, through the operators on texts."""
+    long = " ".join(f"w{i % 5003} don't  x{i % 17}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, "short text", "en", "b"), (4, long, "en", "b")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["kept"] for r in exact_dedup.exact_dedup(df).collect()} == {1: False, 2: True, 3: True, 4: True}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert {r["size"] for r in mixing.mix(df).where("doc_id = 1").collect()} == {600_000}
+    assert {r["doc_id"] for r in language_id.predict(df.select("doc_id", "text"), language_id.Ppm({"en": [b"the cat"], "fr": [b"le chat"]})).collect()} == {1, 2, 3, 4}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.counts_after_edits(df).collect()}
+    packed = {r["doc_id"]: r["n"] for r in packing.packed_digests(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert packed == {k: n + 1 for k, n in counts.items()}
