@@ -334,7 +334,7 @@ def conversation_parts(df: DataFrame, key: str, folder: str = "", locator: str =
     )
 
 
-@source_type("sft_jsonl", "nemo_sft_jsonl")
+@source_type("sft_jsonl")
 def _sft_source(spark: SparkSession, entry: dict) -> DataFrame:
     df = spark.read.schema(SFT).json(entry["paths"])
     return sft_turns(df.withColumn("example", F.monotonically_increasing_id()), "example")
@@ -385,7 +385,7 @@ def _pair_source(spark: SparkSession, entry: dict) -> DataFrame:
 CUT = "id STRING, start DOUBLE, duration DOUBLE, channel INT, supervisions ARRAY<STRUCT<id: STRING, start: DOUBLE, duration: DOUBLE, speaker: STRING, text: STRING, language: STRING>>, recording STRUCT<id: STRING, sampling_rate: INT, duration: DOUBLE>"
 
 
-@source_type("cuts", "lhotse")
+@source_type("cuts")
 def _cut_source(spark: SparkSession, entry: dict) -> DataFrame:
     """Cut manifests (JSON lines, gzipped or not) as one row per supervision on the recording's axis; a cut without one keeps a row."""
     df = spark.read.schema(CUT).json(entry["cuts_path"])
