@@ -100,9 +100,12 @@ def unigram_matches(spark, sf_dir):
     return me.ngram_matches(turns(spark, sf_dir), "pair", "reference", "hypothesis", 1)
 
 
-@query()
+@query(f"""WITH {TURNS}, t AS (SELECT pair, list_filter(string_split(reference, ' '), lambda x: x <> '') AS r, list_filter(string_split(hypothesis, ' '), lambda x: x <> '') AS h FROM tp),
+g AS (SELECT pair, 1 AS n, unnest(r) AS g, 1 AS k FROM t UNION ALL SELECT pair, 1, unnest(h), 0 FROM t UNION ALL SELECT pair, 2, unnest(list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1])), 1 FROM t UNION ALL SELECT pair, 2, unnest(list_transform(range(1, len(h)), lambda i: h[i] || ' ' || h[i + 1])), 0 FROM t),
+c AS (SELECT pair, n, g, sum(k) AS r, sum(1 - k) AS h FROM g GROUP BY 1, 2, 3), m AS (SELECT n, (sum(least(r, h)) + (n > 1)::INT) / (sum(h) + (n > 1)::INT)::DOUBLE AS p FROM c WHERE h > 0 GROUP BY 1), l AS (SELECT sum(len(h))::BIGINT AS len_hyp, sum(len(r))::BIGINT AS len_ref FROM t)
+SELECT len_hyp, len_ref, round(CASE WHEN len_hyp >= len_ref THEN 1 ELSE exp(1 - len_ref / len_hyp::DOUBLE) END * (SELECT exp(avg(ln(p))) FROM m), 9) AS bleu FROM l""")
 def corpus_bleu(spark, sf_dir):
-    return me.bleu(turns(spark, sf_dir), "pair", "reference", "hypothesis", 2, smooth=True)
+    return me.bleu(turns(spark, sf_dir), "pair", "reference", "hypothesis", 2, smooth=True).withColumn("bleu", F.round("bleu", 9))
 
 
 @query(f"""WITH {SCORED}, p AS (SELECT source, score, sum(label) AS p, sum(1 - label) AS n FROM sc GROUP BY 1, 2), u AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
@@ -155,7 +158,9 @@ def fixed_batches(spark, sf_dir):
     return out.select("doc_id", "source", "batch")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), b AS (SELECT *, 0::BIGINT AS batch, 1 AS n, n_chars AS most FROM d WHERE i = 1
+UNION ALL SELECT doc_id, source, n_chars, i, batch + fresh, CASE WHEN fresh = 1 THEN 1 ELSE n + 1 END, CASE WHEN fresh = 1 THEN n_chars ELSE greatest(most, n_chars) END FROM (SELECT d.*, b.batch, b.n, b.most, ((b.n + 1) * greatest(b.most, d.n_chars) > 20000)::INT AS fresh FROM b JOIN d ON d.source IS NOT DISTINCT FROM b.source AND d.i = b.i + 1))
+SELECT doc_id, source, n_chars, batch FROM b""")
 def budget_batches(spark, sf_dir):
     return sa.budget_batches(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], "n_chars", "doc_id", 20_000.0)
 
