@@ -382,10 +382,17 @@ def turn_taking(tokens: DataFrame, keys: Keys, end_id: int, start_id: int, toler
 
 
 def token_hits(target: DataFrame, predicted: DataFrame, keys: Keys, token: int, tolerance: int) -> DataFrame:
-    """Share of the target's tokens found in the prediction within tolerance positions."""
-    t = target.where(F.col("token") == token).select(*keys, "pos")
-    p = predicted.where(F.col("token") == token).select(*keys, F.explode(F.sequence(F.col("pos") - tolerance, F.col("pos") + tolerance)).alias("pos")).distinct().withColumn("hit", F.lit(1))
-    return t.join(p, [*keys, "pos"], "left").groupBy(*keys).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("accuracy"))
+    """Share of the target's tokens found in the prediction within tolerance positions.
+
+    Positions fall into bins of tolerance + 1: any prediction in a token's own bin is a hit, of the bins beside it only the nearest can be.
+    """
+    start = F.col("pos") - F.pmod(F.col("pos"), F.lit(tolerance + 1))
+    t = target.where(F.col("token") == token).select(*keys, "pos", start.alias("bin"))
+    ends = predicted.where(F.col("token") == token).select(*keys, "pos", start.alias("bin")).groupBy(*keys, "bin").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    near = ends.select(*keys, F.explode(F.array(*(F.struct((F.col("bin") + i * (tolerance + 1)).alias("bin"), F.when(F.lit(i == 0), True).alias("own"), F.when(F.lit(i == 1), F.col("last")).alias("before"), F.when(F.lit(i == -1), F.col("first")).alias("after")) for i in (-1, 0, 1)))).alias("n"))
+    near = near.select(*keys, "n.*").groupBy(*keys, "bin").agg(*(F.max(c).alias(c) for c in ("own", "before", "after")))  # one row a bin and column
+    hit = F.coalesce("own", F.lit(False)) | F.coalesce(F.col("pos") - F.col("before") <= tolerance, F.lit(False)) | F.coalesce(F.col("after") - F.col("pos") <= tolerance, F.lit(False))
+    return t.join(near.hint("merge"), [*keys, "bin"], "left").groupBy(*keys).agg(F.avg(hit.cast("int")).alias("accuracy"))
 
 
 def punctuation_errors(df: DataFrame, reference: str, hypothesis: str, marks: str = ".,!?") -> DataFrame:

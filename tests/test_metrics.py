@@ -119,3 +119,15 @@ def test_anchors_and_reduction():
     assert ve.anchored_count(x) == 2
     small, labels = ve.reduced(x, np.repeat([0, 1], 10), 6)
     assert len(small) == 6 and sorted(np.bincount(labels)) == [3, 3] and np.abs(small - centres[labels]).max() < 0.1
+
+
+@pytest.mark.parametrize("tolerance", [0, 3, 2_000_000_000])
+def test_token_hits_by_enumeration(spark, tolerance):
+    rng = np.random.default_rng(tolerance % 97)
+    side = lambda n: [(f"f{rng.integers(3)}", int(p), int(rng.integers(2))) for p in rng.integers(-40, 40, n)]
+    target, predicted = [*side(60), ("alone", 5, 1), (None, 5, 1), ("f0", None, 1)], [*side(12), (None, 5, 1), ("f1", None, 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "file string, pos long, token int")
+    out = {r["file"]: r["accuracy"] for r in me.token_hits(frame(target), frame(predicted), ["file"], 1, tolerance).collect()}
+    hit = lambda f, p: f is not None and p is not None and any(g == f and q is not None and t == 1 and abs(p - q) <= tolerance for g, q, t in predicted)
+    wanted = {f: [hit(g, p) for g, p, t in target if g == f and t == 1] for f in {g for g, _, t in target if t == 1}}
+    assert out == pytest.approx({f: sum(x) / len(x) for f, x in wanted.items()})
