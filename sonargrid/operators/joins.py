@@ -133,13 +133,16 @@ def words_to_turns(words: DataFrame, turns: DataFrame, keys: Keys) -> DataFrame:
 
 
 def word_speakers(words: DataFrame, probs: DataFrame, keys: Keys, frame_length, shift: int = 0) -> DataFrame:
-    """words plus the speaker with the highest mean probability over the word's frames; ties to the smaller speaker."""
+    """words plus the speaker with the highest mean probability over the word's frames; ties to the smaller speaker.
+
+    Frames of words meet their probabilities by shuffle: no estimate knows how many frames a recording has.
+    """
     first = F.floor(F.col("start") / frame_length).cast("int") + shift
     last = F.greatest(F.floor(F.col("end") / frame_length).cast("int") + shift, first)
     spans = words.withColumn("_w", F.struct("start", "end")).select(*keys, "_w", F.explode(F.sequence(first, last)).alias("frame"))
-    means = spans.join(probs, [*keys, "frame"]).groupBy(*keys, "_w", "spk").agg(F.avg("prob").alias("p"))
+    means = spans.join(probs.hint("merge"), [*keys, "frame"]).groupBy(*keys, "_w", "spk").agg(F.avg("prob").alias("p"))
     best = means.groupBy(*keys, "_w").agg(F.max_by("spk", F.struct("p", -F.col("spk"))).alias("spk"))
-    return words.withColumn("_w", F.struct("start", "end")).join(best, [*keys, "_w"], "left").drop("_w")
+    return words.withColumn("_w", F.struct("start", "end")).join(best.hint("merge"), [*keys, "_w"], "left").drop("_w")
 
 
 def silence_after(words: DataFrame, frames: DataFrame, keys: Keys, frame_length, threshold, max_length) -> DataFrame:

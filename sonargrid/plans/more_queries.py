@@ -157,8 +157,9 @@ def speaker_assignment(spark, sf_dir):
 SELECT event_id, arg_max(spk, (p, -spk))::INT AS spk FROM p GROUP BY 1""")
 def word_speakers(spark, sf_dir):
     r = relative(spark, sf_dir).select("event_id", "user_id", F.col("s").alias("start"), (F.col("s") + F.col("d")).alias("end"))
-    grid = r.select("user_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(1500)))).withColumn("spk", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
-    probs = grid.withColumn("prob", ((F.col("frame") * 7 + F.col("spk") * 31 + F.col("user_id")) % 101).cast("double"))
+    frame = lambda c: F.floor(F.col(c) / 60_000).cast("int")
+    grid = r.select("user_id", F.explode(F.sequence(frame("start"), F.greatest(frame("start"), frame("end")))).alias("frame")).distinct()
+    probs = grid.withColumn("spk", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("prob", ((F.col("frame") * 7 + F.col("spk") * 31 + F.col("user_id")) % 101).cast("double"))
     return jo.word_speakers(r, probs, ["user_id"], 60_000).select("event_id", "spk")
 
 

@@ -30,3 +30,8 @@ def test_scans_read_only_what_they_need(spark, tables):
 def test_filters_reach_the_scan(spark, tables):
     text = plan(registry.QUERIES["points_in_intervals"](spark, tables[0]))
     assert "EqualTo(event_type,click)" in text
+
+
+@pytest.mark.parametrize("name", ["token_hits", "word_speakers"])
+def test_rows_that_grow_in_the_query_are_not_broadcast(spark, tables, name):
+    assert "Broadcast" not in plan(registry.QUERIES[name](spark, tables[0]))

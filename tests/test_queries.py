@@ -20,3 +20,13 @@ def test_query(spark, tables, name):
         return [tuple(x[:-2] if x.endswith(".0") else x for x in r) for r in found]
 
     assert plain(rows(out)) == plain(rows(expected))
+
+
+def test_words_of_more_than_a_day_keep_their_frames(spark, tables, tmp_path):
+    import duckdb
+
+    source = f"read_parquet('{tables[0]}/events.parquet')"
+    duckdb.sql(f"SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 90000 + value ELSE value END AS value) FROM {source} LIMIT 60").write_parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    assert rows(registry.QUERIES["word_speakers"](spark, str(tmp_path))) == rows(con.sql(registry.ORACLES["word_speakers"]).df())
