@@ -134,10 +134,12 @@ def manifest_round_trip(spark, sf_dir):
 SELECT user_id::VARCHAR AS uniq_id, a AS "offset", least(1500, e - a) AS duration FROM x WHERE least(1500, e - a) > 50""")
 def embedding_manifest(spark, sf_dir):
     rows = relative(spark, sf_dir).where("d > 0").select(F.col("user_id").cast("string").alias("key"), F.col("s").alias("start"), (F.col("s") + F.col("d")).alias("end"))
-    windows = iv.sliding_windows(rows, 1500, 750, 50).select("key", (F.col("w_start") / 1000.0).alias("start"), ((F.col("w_start") + F.col("w_duration")) / 1000.0).alias("end"))
     files = rows.select("key").distinct().select("key", F.concat("key", F.lit(".wav")).alias("audio_filepath"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # kept by name: a row becomes hundreds of windows
+    named = rows.join(files.hint("merge"), "key").repartition(n, "key", "start")
+    windows = iv.sliding_windows(named, 1500, 750, 50).select("key", "audio_filepath", (F.col("w_start") / 1000.0).alias("start"), ((F.col("w_start") + F.col("w_duration")) / 1000.0).alias("end"))
     path = fresh_path(spark, "windows")
-    fm.write_json_lines(fm.manifest_rows(windows, files, "key"), path)
+    fm.write_json_lines(fm.manifest_rows(windows, None, "key"), path, compression="gzip")
     return fm.read_manifest(spark, path).select("uniq_id", milliseconds("offset").alias("offset"), milliseconds("duration").alias("duration"))
 
 

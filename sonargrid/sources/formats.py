@@ -130,14 +130,17 @@ def relaxed_manifest(base: DataFrame, candidates: DataFrame, keys: list[str], pa
     return merge(base.select(*keys, "start", "end").unionByName(wide), keys)
 
 
-def manifest_rows(intervals: DataFrame, audio: DataFrame, key: str, label: str = "UNK", digits: int = 5) -> DataFrame:
-    """Intervals as manifest rows (audio_filepath, offset, duration, label, uniq_id)."""
-    rows = intervals.join(audio, key)
+def manifest_rows(intervals: DataFrame, audio: DataFrame | None, key: str, label: str = "UNK", digits: int = 5) -> DataFrame:
+    """Intervals as manifest rows (audio_filepath, offset, duration, label, uniq_id). Without audio the intervals have audio_filepath already.
+
+    Neither side is broadcast: how many windows intervals were cut into is in no estimate.
+    """
+    rows = intervals.join(audio.hint("merge"), key) if audio is not None else intervals
     return rows.select("audio_filepath", F.round("start", digits).alias("offset"), F.round(F.col("end") - F.col("start"), digits).alias("duration"), F.lit(label).alias("label"), F.col(key).alias("uniq_id"))
 
 
-def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
-    (df.orderBy(*order) if order else df).write.mode("overwrite").json(path)
+def write_json_lines(df: DataFrame, path: str, *order: str, compression: str = "none") -> None:
+    (df.orderBy(*order) if order else df).write.mode("overwrite").json(path, compression=compression)
 
 
 def rttm_lines(segments: DataFrame, digits: int = 3) -> DataFrame:

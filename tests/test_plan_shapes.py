@@ -35,3 +35,12 @@ def test_filters_reach_the_scan(spark, tables):
 @pytest.mark.parametrize("name", ["token_hits", "word_speakers"])
 def test_rows_that_grow_in_the_query_are_not_broadcast(spark, tables, name):
     assert "Broadcast" not in plan(registry.QUERIES[name](spark, tables[0]))
+
+
+def test_windows_of_a_manifest_are_not_broadcast(spark, tables, monkeypatch):
+    from sonargrid.plans import source_queries
+
+    found, write = [], source_queries.fm.write_json_lines
+    monkeypatch.setattr(source_queries.fm, "write_json_lines", lambda df, *a, **b: (found.append(plan(df)), write(df, *a, **b)))
+    source_queries.embedding_manifest(spark, tables[0])
+    assert found and "Broadcast" not in found[0]
