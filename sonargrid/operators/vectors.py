@@ -225,27 +225,54 @@ def cluster_sessions(df: DataFrame, session: str, item: str, vector: str, method
     return df.select(session, item, vector).groupBy(session).applyInPandas(one, f"`{session}` {kind[session]}, `{item}` {kind[item]}, cluster long")
 
 
-def cluster_long_sessions(df: DataFrame, session: str, item: str, vector: str, chunk: int = 500, per_chunk: int = 20, **options) -> DataFrame:
-    """(session, item, cluster) in two levels: chunks of consecutive items are over-clustered, their centres clustered per session, labels handed back.
-
-    A task holds a chunk, or a session's centres: chunk / per_chunk times fewer vectors.
+def chunk_numbers(df: DataFrame, session: str, item: str, chunk: int) -> DataFrame:
+    """df plus chunk, the number of each row's run of chunk consecutive items of the session. Rows are dealt by ranges of (session, item), so no task holds a session."""
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), session, item)
+    dealt = cut(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(session, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(session).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(session).alias("_session"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(session, "_range").orderBy(item)) - 1
+    placed = dealt.withColumn("_place", place).join(sizes, F.col(session).eqNullSafe(F.col("_session")) & (F.col("_range") == F.col("_at")))
+    return placed.select(*df.columns, F.floor((F.col("_place") + F.col("_before")) / chunk).alias("chunk"))
+
+
+def cluster_long_sessions(df: DataFrame, session: str, item: str, vector: str, chunk: int = 500, per_chunk: int = 20, most_centres: int = 1000, **options) -> DataFrame:
+    """(session, item, cluster): chunks of consecutive items are over-clustered, their centres clustered per session, labels handed back.
+
+    Centres of a session that has more than most_centres are chunked in turn, level by level, so a task holds a chunk or most_centres vectors.
     """
     kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    place = F.row_number().over(Window.partitionBy(session).orderBy(item)) - 1
-    chunks = df.select(session, item, vector, F.floor(place / chunk).alias("chunk"))
 
     def part(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(item)
         x = np.stack(rows[vector].to_numpy()).astype(float)
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         label = k_means(unit, min(per_chunk, len(x)))
-        return pd.DataFrame({session: rows[session], item: rows[item], "chunk": rows["chunk"], "part": label, vector: list(x)})
-
-    local = chunks.groupBy(session, "chunk").applyInPandas(part, f"`{session}` {kind[session]}, `{item}` {kind[item]}, chunk long, part long, `{vector}` array<double>")
-    centres = mean_vector(local, [session, "chunk", "part"], vector).withColumn("_node", F.struct("chunk", "part"))
-    centres = centres.withColumn("_node", F.col("chunk") * 1_000_000 + F.col("part"))
-    labels = cluster_sessions(centres, session, "_node", vector, **options)
-    return local.withColumn("_node", F.col("chunk") * 1_000_000 + F.col("part")).join(labels, [session, "_node"]).select(session, item, "cluster")
+        node = rows["chunk"].to_numpy() * 1_000_000 + label
+        used = np.unique(label)
+        centres = [unit[label == i].mean(0) for i in used]
+        items = pd.DataFrame({session: rows[session], item: rows[item], "_node": node, "_centre": None})
+        means = pd.DataFrame({session: [rows[session].iloc[0]] * len(used), item: None, "_node": rows["chunk"].iloc[0] * 1_000_000 + used, "_centre": [c / (np.linalg.norm(c) or 1.0) for c in centres]})
+        return pd.concat([items.astype({"_centre": object}), means.astype({"_centre": object})], ignore_index=True)
+
+    chunks = chunk_numbers(df.select(session, item, vector), session, item, chunk)
+    both = cut(chunks.groupBy(session, "chunk").applyInPandas(part, f"`{session}` {kind[session]}, `{item}` {kind[item]}, _node long, _centre array<double>"), "chunks")
+    local = both.where("_centre IS NULL").select(session, item, "_node")
+    centres = both.where("_centre IS NOT NULL").select(session, "_node", F.col("_centre").alias(vector))
+    large = centres.groupBy(F.col(session).alias("_session")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_centres).select("_session")
+    if large.isEmpty():
+        labels = cluster_sessions(centres, session, "_node", vector, **options)
+    else:
+        if per_chunk >= min(chunk, most_centres):
+            raise ValueError("per_chunk must be less than chunk and most_centres: chunks would not get fewer")
+        same = F.col(session).eqNullSafe(F.col("_session"))
+        deeper = centres.join(F.broadcast(large), same, "left_semi").withColumnRenamed("_node", "_item")
+        deeper = cluster_long_sessions(deeper, session, "_item", vector, chunk, per_chunk, most_centres, **options).withColumnRenamed("_item", "_node")
+        labels = cluster_sessions(centres.join(F.broadcast(large), same, "left_anti"), session, "_node", vector, **options).unionByName(deeper)
+    labels = labels.select(F.col(session).alias("_session"), F.col("_node").alias("_of"), "cluster")
+    return local.join(labels, F.col(session).eqNullSafe(F.col("_session")) & (F.col("_node") == F.col("_of"))).select(session, item, "cluster")
 
 
 def graph_components(edges: DataFrame, keys: Keys) -> DataFrame:

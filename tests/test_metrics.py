@@ -131,3 +131,16 @@ def test_token_hits_by_enumeration(spark, tolerance):
     hit = lambda f, p: f is not None and p is not None and any(g == f and q is not None and t == 1 and abs(p - q) <= tolerance for g, q, t in predicted)
     wanted = {f: [hit(g, p) for g, p, t in target if g == f and t == 1] for f in {g for g, _, t in target if t == 1}}
     assert out == pytest.approx({f: sum(x) / len(x) for f, x in wanted.items()})
+
+
+def test_long_sessions_of_many_centres(spark):
+    rng = np.random.default_rng(4)
+    centres = np.eye(8)[:3] * 5
+    data = [(s, i, [float(v) for v in centres[i % 3] + rng.normal(0, 0.1, 8)]) for s, n in (("long", 700), ("short", 40), (None, 33)) for i in range(n)]
+    df = spark.createDataFrame(data, "s string, i int, v array<double>").repartition(7)
+    out = ve.cluster_long_sessions(df, "s", "i", "v", 20, 6, most_centres=25, known=3).collect()
+    assert sorted((r["s"] or "", r["i"]) for r in out) == sorted((s or "", i) for s, i, _ in data)
+    for s in ("long", "short", None):
+        assert len({(r["cluster"], r["i"] % 3) for r in out if r["s"] == s}) == 3
+    numbers = ve.chunk_numbers(df, "s", "i", 20).collect()
+    assert all(r["chunk"] == r["i"] // 20 for r in numbers) and len(numbers) == len(data)
