@@ -588,6 +588,27 @@ def test_pages_of_a_large_host_against_a_suffix_array(spark):
     assert len(out) == len(rows) and cut_pages > 30 and {r["page_id"]: r["text"] for r in out} == expected
 
 
+def test_suffix_array_of_pieces_by_enumeration():
+    rng = random.Random(5)
+    for _ in range(40):
+        pieces = [" ".join([str(rng.randint(1, 2)), *(rng.choice("ab") for _ in range(rng.randint(0, 12)))]) for _ in range(rng.randint(1, 9))]
+        least = np.array([rng.randint(0, 3) for _ in pieces])
+        most = least + np.array([rng.choice((0, 0, 1)) for _ in pieces])
+        pages = {}
+        for p, a, b in zip(pieces, least.tolist(), most.tolist(), strict=True):
+            site, *words = p.split(" ")
+            for i in range(len(words) - 2):
+                pages.setdefault((site, *words[i : i + 3]), set()).update((a, b))
+        expected = [[i for i in range(len(w) - 2) if len(pages[(site, *w[i : i + 3])]) > 1] for site, *w in (p.split(" ") for p in pieces)]
+        assert html_extract.repeated(pieces, least, most, 3) == expected
+
+
+def test_equal_hashes_do_not_make_strings_equal():
+    texts = [f"7 {'x ' * 7}{w}" for w in "abc"] + ["8 " + "x " * 7 + "a"]
+    found = html_extract.index_pieces(pa.table({"lowest": [5] * 4, "piece": texts, "least": [1, 2, 3, 4], "most": [1, 2, 9, 4], "asks": [1] * 4}))
+    assert found.to_pylist() == [{"piece": texts[2], "asks": 1, "hits": [0]}]
+
+
 def test_training_sample_skips_what_does_not_fit(spark):
     rows = [(i, f"text number {i} " * 4, "en") for i in range(40)] + [(100 + i, "long words " * 300, "en") for i in range(10)] + [(200, "only one " * 900, "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
